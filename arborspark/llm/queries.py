@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from arborspark.llm.common import read
 
@@ -31,6 +30,48 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+@query
+def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborspark.llm.quality_nbsvm import score_quality
+
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborspark.llm.toxicity import score_toxicity
+
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborspark.llm.quality_rules import judge
+
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborspark.llm.secret_scan import scan_query
+
+    return scan_query(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborspark.llm.pii import find_query
+
+    return find_query(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborspark.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arborspark.llm.token_counts import count_tokens
@@ -84,5 +125,3 @@ FROM (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN t
              CAST(('0x' || substr(md5(draw_key || ':42'), 1, 12)) AS BIGINT) / 281474976710656.0 AS draw
       FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
 """
-
-del F
