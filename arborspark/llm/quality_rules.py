@@ -166,8 +166,9 @@ def learn_from(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     picked = F.broadcast(least(0).unionByName(least(1)))  # 2 x per_class rows of two numbers
     texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(picked, F.col("__id") == F.col("key"))
     rows = with_statistics(texts.select(F.struct("__id", "label").alias("both"), "__text"), "both", "__text")
-    got = rows.where(~base_failed()).select("id.*", *FEATURES).collect()
-    got = sorted(got, key=lambda r: (str(r["__id"]), r["label"]))
+    # Not filtered in Spark: a pushed-down filter would compute the statistics anew inside its own condition.
+    got = rows.select("id.*", base_failed().alias("failed"), *FEATURES).collect()
+    got = sorted((r for r in got if not r["failed"]), key=lambda r: (str(r["__id"]), r["label"]))
     return learn([({f: r[f] for f in FEATURES}, r["label"] == 0) for r in got])
 
 
