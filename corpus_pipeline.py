@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arborspark.llm.common import read, table
 from arborspark.llm.queries import vocabulary
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches the threshold go."""
+    from arborspark.llm.toxicity import drop_toxic
+
+    return drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     from arborspark.llm.simhash_dedup import deduplicate
@@ -15,6 +23,14 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduplicate(docs).select(docs.columns)
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark, and the character count follows; every document stays."""
+    from arborspark.llm.secret_scan import redact
+
+    length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
+    return redact(docs).withColumn("n_chars", length).select(docs.columns)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's repetition rate says."""
     from arborspark.llm.mixing import mix
@@ -29,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_digests(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("simhash near-dedup", dedup), ("mixing", mixing), ("bpe", encode)]
+STAGES = [("toxicity", toxicity), ("simhash near-dedup", dedup), ("secret scan", secrets), ("source mixing", mixing), ("bpe", encode)]
 
 #: Toxicity and SimHash have no SQL form; the tests hold the stages against plain Python.
 ORACLE_SQL = None
