@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from arborspark.llm.common import prepare, table, text_of
 
-#: Pre-tokens joined on the map side, at most, and the characters of each: under 32 MB.
-HOT_ENTRIES, HOT_CHARS = 1 << 17, 48
+#: Pre-tokens joined on the map side, at most, and the characters of each: under 64 MB.
+HOT_ENTRIES, HOT_CHARS = 1 << 18, 48
 #: The space mark of the vocabulary, a fixed value.
 MARK = "▁"
 
