@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import fold_of, text_of
+from arborspark.llm.common import fold_of, table, text_of
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -175,6 +175,7 @@ def learn_from(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, folds: int = 5, held_fold: int = 0) -> DataFrame:
     """``id_col``, the base statistics, ``base_failed``, ``kept`` and ``rule`` (of the list, null: none) of every document."""
     rules = learn_from(df, labels, id_col, text_col, label_col, per_class, fold_of(F.col("key"), folds) != held_fold)
-    rows = with_statistics(df, id_col, text_col)
+    # Written down, as a later filter on these columns would be pushed below them and compute them many times.
+    rows = table(with_statistics(df, id_col, text_col), "quality-statistics")
     rows = rows.withColumn("base_failed", base_failed()).withColumn("rule", rejected(rules))
     return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
