@@ -9,7 +9,7 @@ shuffle, so a text that a third of the table repeats is neither moved nor scanne
 Defined results: a null text counts as empty; a text without findings has counts 0 and the
 empty span string; repeated rows and repeated or null ids give one row each; an empty
 table gives an empty table; other columns are dropped by :func:`scan` and kept by
-:func:`redact`.
+:func:`redact`. Keywords match in either ASCII case only.
 """
 
 from __future__ import annotations
