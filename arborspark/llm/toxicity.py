@@ -80,26 +80,30 @@ def choose(frequencies: DataFrame, n_pos: int, n_unl: int) -> list[int]:
     return [r[0] for r in rows.orderBy(F.desc("gain"), "feature").limit(FEATURES).select("feature").collect()]
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 250, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the non-negative risk with sigmoid loss.
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 250, rate: float = 0.05, decay: float = 5e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the non-negative risk with logistic loss.
 
-    The loss is bounded, so that a few texts far out cannot outweigh an error of the prior.
+    Afterwards the bias is moved until the mean score of the unlabelled texts is the prior.
     """
     positive, unlabelled = positive.astype(np.float32), unlabelled.astype(np.float32)
-    w, b = np.zeros(positive.shape[1], np.float32), -1.0
+    w, b = np.zeros(positive.shape[1], np.float32), -2.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for k in range(1, rounds + 1):
-        p, u = logistic(positive @ w + b), logistic(unlabelled @ w + b)
-        slope_p, slope_u = p * (1 - p) / len(p), u * (1 - u) / len(u)
-        if u.mean() - prior * p.mean() >= 0:
-            up, uu = -2 * prior * slope_p, slope_u
+        zp, zu = positive @ w + b, unlabelled @ w + b
+        p, u = logistic(zp), logistic(zu)
+        if np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() >= 0:
+            up, uu = np.full(len(p), -prior / len(p), np.float32), u / len(u)
         else:  # the corrected loss of the unlabelled went below zero: step back along it
-            up, uu = prior * slope_p, -slope_u
+            up, uu = prior * p / len(p), -u / len(u)
         g = np.append(positive.T @ up + unlabelled.T @ uu + decay * w, up.sum() + uu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
+    z, low, high = unlabelled @ w, -40.0, 20.0
+    for _ in range(60):
+        b = (low + high) / 2
+        low, high = (low, b) if logistic(z + b).mean() > prior else (b, high)
     return w, float(b)
 
 
