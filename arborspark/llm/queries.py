@@ -125,3 +125,26 @@ FROM (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN t
              CAST(('0x' || substr(md5(draw_key || ':42'), 1, 12)) AS BIGINT) / 281474976710656.0 AS draw
       FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
 """
+
+
+def _secret_sql() -> str:
+    from arborspark.llm import secret_scan as s
+
+    patterns = [s.ASSIGN, s.ACCESS, s.HEX, *[p for p, _ in s.MORE.values()]]
+    quoted = [p.replace("'", "''") for p in patterns]
+    rules = ", ".join(f"({k}, '{name}', '{p}')" for k, (name, p) in enumerate(zip(s.KINDS, quoted, strict=True)))
+    count = lambda k: f"count(*) FILTER (k = {k}) AS n_{s.KINDS[k]}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
+rules(k, kind, pattern) AS (VALUES {rules}),
+cut AS (SELECT rid, k, kind, string_split_regex(regexp_replace(t, pattern, chr(1) || '\\0' || chr(2), 'g'), '[\\x01\\x02]') AS pieces FROM d, rules WHERE regexp_matches(t, pattern)),
+p AS (SELECT rid, k, kind, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM cut),
+placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY rid, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM p),
+found AS (SELECT rid, k, kind, b, b + length(piece) AS e FROM placed WHERE i % 2 = 1 AND (k <> 0 OR length(regexp_extract(piece, '{quoted[0]}', 2)) >= 6))
+SELECT doc_id, {count(0)}, {count(1)}, {count(2)},
+  sha256(coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k, e) FILTER (k < 3), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k, e), '') AS spans
+FROM d LEFT JOIN found USING (rid) GROUP BY rid, doc_id"""
+
+
+SQL["op4_secret_scan"] = _secret_sql()
