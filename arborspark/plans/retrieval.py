@@ -274,3 +274,40 @@ def frontier_search(spark, sf):
     from arborspark.operators import search
 
     return search.resumed(_scored_nodes(spark, sf), width=2, accept=0.02, budget=40)
+
+
+WHOLE = "whole AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY paragraph) AS w FROM turns GROUP BY doc_id)"
+
+
+def _whole(spark, sf):
+    by = turn_units(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph", "text"))).alias("us"))
+    return by.select("doc_id", F.array_join(F.transform("us", lambda u: u["text"]), "\n\n").alias("w"))
+
+
+@query(f"""WITH RECURSIVE {NODES}, {WHOLE}, cites AS (SELECT doc_id, node_id, substr(w, 1, start) AS before, substr(w, start + 1, "end" - start) AS body FROM nodes JOIN whole USING (doc_id))
+SELECT doc_id, node_id, length(before) - length(replace(before, chr(10), '')) + 1 AS first_line,
+length(before) - length(replace(before, chr(10), '')) + length(body) - length(replace(body, chr(10), '')) + 1 AS last_line, sha256(body) AS sha FROM cites""")
+def read_citation(spark, sf):
+    rows = _nodes(spark, sf).join(_whole(spark, sf), "doc_id")
+    before, body = F.substring("w", F.lit(1), F.col("start")), F.substring("w", F.col("start") + 1, F.col("end") - F.col("start"))
+    breaks = lambda c: (F.length(c) - F.length(F.translate(c, "\n", ""))).cast("bigint")
+    return rows.select("doc_id", "node_id", (breaks(before) + 1).alias("first_line"), (breaks(before) + breaks(body) + 1).alias("last_line"), F.sha2(body, 256).alias("sha"))
+
+
+@query(f"""WITH RECURSIVE {NODES} SELECT c.doc_id, c.node_id, c.kind, p.node_id AS parent_id, p.kind AS parent_kind, p."end" - p.start AS parent_chars
+FROM nodes c JOIN nodes p ON p.doc_id = c.doc_id AND p.node_id = c.parent_id""")
+def node_parents(spark, sf):
+    n = _nodes(spark, sf)
+    p = n.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"), (F.col("end") - F.col("start")).alias("parent_chars"))
+    return n.select("doc_id", "node_id", "kind", "parent_id").join(p, ["doc_id", "parent_id"])
+
+
+@query(f"""WITH {CARDS}, per_doc AS (SELECT question, doc_id, count(*) AS n, sum(cost) AS used, min(rank) AS best FROM cards WHERE rank <= 30 GROUP BY ALL),
+widths AS (SELECT doc_id, sum(len({tokens_sql('text')})) AS whole_cost FROM units GROUP BY doc_id)
+SELECT question, doc_id, n, used::BIGINT AS used, best, whole_cost::BIGINT AS whole_cost, n >= 2 AND used / whole_cost >= (1 + used / 2048) / 3 AS merged FROM per_doc JOIN widths USING (doc_id)""")
+def context_merge(spark, sf):
+    """Hits of one document give way to the whole of it where they cover a share of it that grows with the budget used."""
+    hits = _cards(spark, sf).where("rank <= 30").groupBy("question", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("used"), F.min("rank").alias("best"))
+    whole = doc_units(spark, sf).groupBy("doc_id").agg(F.sum(F.size(T.tokens(F.col("text")))).alias("whole_cost"))
+    merged = (F.col("n") >= 2) & (F.col("used") / F.col("whole_cost") >= (1 + F.col("used") / 2048) / 3)
+    return hits.join(whole, "doc_id").select("question", "doc_id", "n", "used", "best", "whole_cost", merged.alias("merged"))
