@@ -79,7 +79,7 @@ LONGER = "1 / (1 + exp(-({a}.cost - {b}.cost) / 8.0))"
 PROMOTE = f"least({LONGER.format(a='c', b='f')}, 1 - {LONGER.format(a='f', b='c')})"
 
 
-@query(f"""WITH RECURSIVE {CARDS}, top AS (SELECT question, item, rank, cost FROM cards WHERE rank <= 30),
+@query(f"""WITH RECURSIVE {CARDS}, top AS MATERIALIZED (SELECT question, item, rank, cost FROM cards WHERE rank <= 30),
 slots AS (SELECT question, 1 AS n, list(item ORDER BY rank)[1:1] AS done FROM top GROUP BY question
 UNION ALL SELECT s.question, s.n + 1, list_append(s.done, (SELECT arg_max(c.item, {{'won': c.item <> f.item, 'p': CASE WHEN c.item = f.item THEN 0.0 ELSE {PROMOTE} END, 'o': -c.rank}}) FROM top c
   JOIN (SELECT t.question, arg_min(t.item, t.rank) AS item, arg_min(t.cost, t.rank) AS cost FROM top t WHERE t.question = s.question AND NOT list_contains(s.done, t.item) GROUP BY t.question) f ON f.question = c.question
