@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborspark.llm.common import prepare, table, text_of
@@ -66,16 +66,17 @@ def fingerprint(text: str, k: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` (64 bits as a signed long) of every row."""
+    """``id, fp, text_hash`` (64 bits as signed longs) of every row."""
     prepare(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), made, batch.column(2)], ["id", "fp", "text_hash"])
 
-    return df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    text = text_of(text_col)
+    return df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, f"id {kind}, fp bigint, text_hash bigint")
 
 
 class BKTree:
@@ -229,17 +230,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all columns of ``df``: the row of the least id.
 
-    Where that id stands on several rows, the one of the least text hash stays. A component
-    without any id keeps one row of its least fingerprint.
+    Where that id stands on several rows of the component, the one of the least text hash
+    stays. A component without any id keeps a row of its least fingerprint. An id that
+    stands on texts of several components keeps a row in each that it names.
     """
-    _, labels = _labelled(df, id_col, text_col)
-    keep = labels.select(F.col("component_id").alias("__keep")).where("__keep is not null").distinct()
-    kept = df.join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_of(text_col)))
-    once = kept.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-    bare = labels.where("component_id is null and label_fp = root").select(F.col("root").alias("__keep"))
-    if bare.isEmpty():
-        return once
-    print_of = F.pandas_udf(lambda texts: texts.map(fingerprint), "bigint")
-    lost = df.where(F.col(id_col).isNull()).withColumn("__fp", print_of(text_of(text_col)))
-    return once.unionByName(lost.join(bare, F.col("__fp") == F.col("__keep"), "left_semi").dropDuplicates(["__fp"]).drop("__fp"))
+    prints, labels = _labelled(df, id_col, text_col)
+    # What tells the rows of a component apart, in order of preference; copies are folded before the join.
+    rank = F.struct(F.col("id").isNull().alias("bare"), F.col("id"), F.when(F.col("id").isNull(), F.col("fp")).alias("fp"), F.col("text_hash"))
+    best = prints.groupBy("fp").agg(F.min(rank).alias("best")).join(labels, F.col("fp") == F.col("label_fp"))
+    keep = best.groupBy("root").agg(F.min("best").alias("best")).select(F.struct("best.id", "best.text_hash").alias("__key")).distinct()
+    keyed = df.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash")))
+    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(df.columns)

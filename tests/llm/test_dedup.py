@@ -100,6 +100,13 @@ def test_rows_without_any_id_keep_one(spark):
     assert simhash_dedup.deduplicate(df).count() == 2
 
 
+def test_one_id_on_unrelated_texts_keeps_each(spark):
+    a, b = ("".join(f" {w}{k}" for k in range(40)) for w in "ab")
+    for first, second in ((a, b), (b, a)):
+        df = spark.createDataFrame([(3, first), (5, first), (5, second), (5, second)], "doc_id long, text string")
+        assert sorted(map(tuple, simhash_dedup.deduplicate(df).collect())) == [(3, first), (5, second)]
+
+
 def test_edited_texts_follow_the_ids(docs, none):
     got = fingerprints.fingerprint_documents(docs, per_range=3).collect()
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
