@@ -9,7 +9,8 @@ shuffle, so a text that a third of the table repeats is neither moved nor scanne
 Defined results: a null text counts as empty; a text without findings has counts 0 and the
 empty span string; repeated rows and repeated or null ids give one row each; an empty
 table gives an empty table; other columns are dropped by :func:`scan` and kept by
-:func:`redact`. Keywords match in either ASCII case only.
+:func:`redact`. Keywords match in either ASCII case only. The pem span of a scan is the
+line that opens a private key, as in the SQL twin; a redaction takes the key with it.
 """
 
 from __future__ import annotations
@@ -88,8 +89,31 @@ def scan_query(df: DataFrame) -> DataFrame:
     return rows.select("doc_id", *[count(k) for k in range(3)], F.sha2(written(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"), written(F.col("spans"), KINDS).alias("spans"))
 
 
+def key_end(t: Column, m: Column) -> Column:
+    """Where the private key ends that the pem span ``m`` opens: after its END line, else after its base64 lines.
+
+    An END line counts only if no other block begins before it. Base64 lines have 16 characters
+    or more, but for a last one; the two headers of an encrypted key and blank lines may stand between.
+    """
+    mark = F.replace(F.substring(t, m["s"] + 1, m["e"] - m["s"]), F.lit("-----BEGIN "), F.lit("-----END "))
+    shut, other = F.position(mark, t, m["e"] + 1), F.position(F.lit("-----BEGIN "), t, m["e"] + 1)
+    lines = F.split(F.substring(t, m["e"] + 1, F.length(t)), "\n")
+    # ``at`` counts the characters read, ``end`` those that belong to the key; ``long``: the line before was a full one.
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(False).alias("long"), F.lit(True).alias("on"))
+
+    def step(acc: Column, line: Column) -> Column:
+        bare = F.regexp_replace(line, r"\s+$", "")
+        long = bare.rlike(r"^\s*+[A-Za-z0-9+/]{16,}+={0,2}$") | bare.rlike("^(?:Proc-Type|DEK-Info): ")
+        part = long | (acc["long"] & bare.rlike(r"^\s*+[A-Za-z0-9+/]{1,15}={0,2}$"))
+        end = F.when(acc["on"] & part, acc["at"] + F.length(bare)).otherwise(acc["end"])
+        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), end.alias("end"), long.alias("long"), (acc["on"] & (part | (bare == ""))).alias("on"))
+
+    closed = (shut > 0) & ((other == 0) | (other > shut))
+    return F.when(closed, shut - 1 + F.length(mark)).otherwise(m["e"] + F.aggregate(lines, start, step, lambda acc: acc["end"]))
+
+
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", ledger_path: str | None = None, version: str = RULE_VERSION) -> DataFrame:
-    """All rows and columns of ``df``, the union of each text's spans replaced by ``mark``; null texts stay null."""
+    """All rows and columns of ``df``, the union of each text's spans, private keys whole, replaced by ``mark``; null texts stay null."""
     names = df.columns
     ledger = Ledger(df.sparkSession, ledger_path)
     texts = df.withColumn("__blob", blob_of(text_of(text_col)))
@@ -102,6 +126,8 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark:
         new = F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.greatest(m["s"] - acc["at"], F.lit(0))), F.when(m["s"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], m["e"]).alias("at"), new.alias("out"))
 
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    pem = KINDS.index("pem")
+    whole = F.transform("__spans", lambda m: F.struct(m["s"].alias("s"), F.when(m["k"] == pem, key_end(t, m)).otherwise(m["e"]).alias("e")))
+    clean = F.aggregate(whole, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
     out = texts.join(found, F.col("__blob") == F.col("__found"), "left")
     return out.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(clean)).select(names)

@@ -138,6 +138,21 @@ def test_redaction_keeps_rows_and_other_text(docs):
     assert got[0]["text"] == "Hello there, this is a plain text. Hello again!" and got[1]["text"] is None
 
 
+def test_redaction_takes_the_key_with_its_header(spark):
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(["MIIEowIBAAKCAQEAx+/Zq" * 3] * 40) + "\nQm9keQ=="
+    texts = {
+        f"😀 a\n{head}\n{body}\n{tail}\nz": "😀 a\n[SECRET]\nz",
+        f"a {head} {body} {tail} z": "a [SECRET] z",
+        f"a\n{head}\r\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body}\n\nThanks\n": "a\n[SECRET]\n\nThanks\n",
+        f"{head}\n{body}": "[SECRET]",
+        f"{head}\n{body}\nnot part of it\n{head}\n{body}\n{tail} z": "[SECRET]\nnot part of it\n[SECRET] z",
+        f"{head} is how such a file begins": "[SECRET] is how such a file begins",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in secret_scan.redact(df).orderBy("doc_id").collect()] == list(texts.values())
+
+
 def luhn(d):
     return sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
