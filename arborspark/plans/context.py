@@ -118,9 +118,13 @@ lost AS (SELECT w.*, b.node_id IS NULL AS lost FROM way w LEFT JOIN (SELECT DIST
 barriers AS (SELECT doc_id, node_id, count(*) AS n_levels, coalesce(min(depth) FILTER (lost), max(depth) + 1) - 1 AS n_reached, arg_min(step, depth) FILTER (lost) AS barrier FROM lost GROUP BY ALL)"""
 
 
-def _barriers(spark, sf):
+#: The paragraphs that the SQL of the twins follows.
+EVEN = "node_id rlike '^p[0-9]*[02468]$'"
+
+
+def _barriers(spark, sf, targets=EVEN):
     nodes = _nodes(spark, sf)
-    return context.first_barriers(nodes.where("node_id rlike '^p[0-9]*[02468]$'"), tree.paths(nodes), beam_search(spark, sf))
+    return context.first_barriers(nodes.where(targets), tree.paths(nodes), beam_search(spark, sf))
 
 
 @query(f"WITH {BARRIERS} SELECT * FROM barriers")
@@ -134,6 +138,18 @@ def evidence_by_depth(spark, sf):
     return context.retained_by_depth(_barriers(spark, sf))
 
 
+@query()
+def search_barriers_all(spark, sf):
+    """Of every paragraph; the twin of ``search_barriers`` has the even ones only."""
+    return _barriers(spark, sf, "kind = 'paragraph'")
+
+
+@query()
+def evidence_by_depth_all(spark, sf):
+    """Over every paragraph; the twin of ``evidence_by_depth`` has the even ones only."""
+    return context.retained_by_depth(search_barriers_all(spark, sf))
+
+
 @query(f"""WITH {CARDS}, top AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY doc_id, paragraph) AS i FROM cards WHERE rank <= 5)
 SELECT question, 'Title: ' || question || chr(10) || chr(10) || string_agg('[' || i || '] ' || doc_id || chr(10) || text, chr(10) || chr(10) ORDER BY i) AS context FROM top GROUP BY question""")
 def rendered_context(spark, sf):
