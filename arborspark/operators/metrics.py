@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import accumulate
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +65,21 @@ def sign_test(differences: DataFrame, pair: list[str], cluster: str, value: str,
     return rows.select(*pair, F.round(F.col("total") / F.col("n"), 6).alias("mean"), F.round("p", 6).alias("p"))
 
 
-def bootstrap(rows: DataFrame, group: list[str], cluster: str, value: str, draws: int = 100, seed: int = 7) -> DataFrame:
-    """``group, mean, low, high``: clusters drawn with hash-made Poisson-like weights (0 to 3), question-weighted."""
+#: Poisson distribution with mean 1, as far as a 32-bit draw tells its steps apart.
+POISSON = list(accumulate(exp(-1) / factorial(k) for k in range(13)))
+
+
+def bootstrap(rows: DataFrame, group: list[str], cluster: str, value: str, draws: int = 100, seed: int = 7, steps: Sequence[float] = (0.3679, 0.7358, 0.9197)) -> DataFrame:
+    """``group, mean, low, high``: clusters drawn with hash-made weights, question-weighted.
+
+    A weight is the number of ``steps`` at or below its draw: 0 to 3 as the twin has it, or Poisson without a cap.
+    """
     sums = rows.groupBy(*group, cluster).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
     drawn = sums.select(*group, cluster, "s", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "draw", cluster), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    w = F.when(u < 0.3679, 0).when(u < 0.7358, 1).when(u < 0.9197, 2).otherwise(3)
+    w = F.lit(len(steps))
+    for k in reversed(range(len(steps))):
+        w = F.when(u < steps[k], k).otherwise(w)
     means = drawn.withColumn("w", w).groupBy(*group, "draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
     ends = means.groupBy(*group).agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
     total = sums.groupBy(*group).agg(F.round(F.sum("s") / F.sum("n"), 6).alias("mean"))

@@ -147,6 +147,26 @@ def bootstrap(spark, sf):
     return metrics.bootstrap(_scores(spark, sf), ["dataset", "method"], "cluster", "score", draws=40)
 
 
+#: Draws of the reference (scripts/retrieval_v3_statistics.py). The twins above have 40, from which no test of ten can be significant.
+DRAWS = 10_000
+
+
+@query()
+def sign_test_10k(spark, sf):
+    return metrics.sign_test(_diffs(spark, sf), ["dataset", "other"], "cluster", "d", draws=DRAWS)
+
+
+@query()
+def holm_10k(spark, sf):
+    tested = sign_test_10k(spark, sf).withColumn("family", F.lit(0))
+    return metrics.holm(tested, ["family"], "p", ["dataset", "other"]).select("dataset", "other", "p", "adjusted")
+
+
+@query()
+def bootstrap_10k(spark, sf):
+    return metrics.bootstrap(_scores(spark, sf), ["dataset", "method"], "cluster", "score", draws=DRAWS, steps=metrics.POISSON)
+
+
 WORDS_KEY = f"array_to_string({tokens_sql('text')}, ' ')"
 DUPES = f"""keys AS (SELECT doc_id, sha256({WORDS_KEY}) AS a, CASE WHEN len({tokens_sql('text')}) >= 20 THEN sha256(array_to_string({tokens_sql('text')}[1:20], ' ')) END AS b FROM documents WHERE text IS NOT NULL),
 edges AS (SELECT DISTINCT x.doc_id AS f, y.m AS t FROM keys x JOIN (SELECT a, min(doc_id) AS m FROM keys GROUP BY a) y USING (a) UNION SELECT DISTINCT x.doc_id, y.m FROM keys x JOIN (SELECT b, min(doc_id) AS m FROM keys WHERE b IS NOT NULL GROUP BY b) y USING (b)),
