@@ -3,9 +3,9 @@
 High-recall generators propose overlapping spans; boosted trees score each by its format
 and the words before it; a calibrated threshold selects what is added to the base spans.
 The trees are fitted to weak labels, whether a candidate overlaps a verified base span,
-counted over all documents by feature cell: features are small integers, so the cells that
-come to the driver are bounded (``most_cells``, the commonest). The fitted trees are one
-Spark expression.
+counted over all documents by feature cell. At most ``most_cells`` come to the driver: where
+there are more, features are read in coarser bins and the cells' counts are added up, so that
+every candidate stays counted. The fitted trees are one Spark expression.
 
 Defined results: a null text counts as empty; a text without findings has counts 0 and the
 empty span string; without any candidate nothing is added; repeated rows and repeated or
@@ -32,6 +32,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators of candidates: anything with an at sign, dotted or coloned digits, long runs of digits.
 GENERATORS = [r"(?<![^\s<>(),;])[^\s@<>(),;]++@[^\s@<>(),;]++", r"(?<![0-9])[0-9]++(?:[.:][0-9]++){2,}+", r"[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9]){6,}+"]
 FEATURES = ("kind", "digits", "letters", "dots", "gaps", "plus", "length", "context")
+#: Those that are read in coarser bins where cells are too many; 63 is their last bin.
+BINNED = ("digits", "letters", "dots", "gaps", "length")
 CONTEXT = r"(?i)(?:tel|phone|fon|call|mail|contact|card|karte|carte|tarjeta|ip|addr)[^\n]{0,16}$"
 
 
@@ -153,6 +155,20 @@ def as_expression(tree: Tree, m: Column) -> Column:
     return F.when(m[FEATURES[f]] <= v, as_expression(low, m)).otherwise(as_expression(high, m))
 
 
+def collected(counts: DataFrame, most: int) -> list[tuple[tuple[int, ...], int, int]]:
+    """All counts by feature cell, the commonest first; in bins of doubled width until there are at most ``most``.
+
+    A bin goes by its largest value, so a tree's threshold on bins holds for the values themselves.
+    """
+    for bits in range(1, 8):
+        rows = counts.limit(most + 1).collect()
+        if len(rows) <= most:
+            return sorted(((tuple(r[f] for f in FEATURES), r["n"], r["up"]) for r in rows), key=lambda c: (-c[1], c[0]))
+        wide = [F.col(f).bitwiseOR(F.lit((1 << bits) - 1)).alias(f) if f in BINNED else F.col(f) for f in FEATURES]
+        counts = counts.select(*wide, "n", "up").groupBy(*FEATURES).agg(F.sum("n").alias("n"), F.sum("up").alias("up"))
+    raise ValueError(f"more than {most} cells in the coarsest bins")
+
+
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.8, most_cells: int = 4096) -> DataFrame:
     """``id_col, base, spans`` (arrays of ``struct<s, k, e>``) of every row. Texts are read once."""
     t = F.col("text")
@@ -162,7 +178,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", precisio
     rows = table(rows.select("id", "base", candidates(t, F.col("base")).alias("proposed")), "pii-candidates")
     each = rows.select(F.explode("proposed").alias("c")).select(*[F.col("c")[f].alias(f) for f in FEATURES], F.col("c")["label"].alias("label"))
     counts = each.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("up"))
-    cells = [(tuple(r[f] for f in FEATURES), r["n"], r["up"]) for r in counts.orderBy(F.desc("n"), *FEATURES).limit(most_cells).collect()]
+    cells = collected(counts, most_cells)
     added = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
     if cells:
         start, trees = boost(cells)

@@ -188,3 +188,14 @@ def test_boosting_separates_cells():
     least = pii.threshold(cells, start, trees, 0.95)
     score = lambda x: start + sum(pii._value(t, x) for t in trees)
     assert all((score(x) >= least) == (up > 0) for x, _, up in cells)
+
+
+def test_every_candidate_is_counted_in_few_cells(spark, monkeypatch):
+    seen, real = [], pii.boost
+    monkeypatch.setattr(pii, "boost", lambda cells: seen.append(cells) or real(cells))
+    df = spark.createDataFrame([(k, f"{'7' * (7 + k % 17)} or {'.'.join(['1' * (1 + k % 3)] * (3 + k % 5))} or {'a' * (k % 20 + 1)}@b.de") for k in range(60)], "doc_id long, text string")
+    for most in (4096, 12):
+        assert len(pii.find(df, most_cells=most).collect()) == 60
+    every, few = seen
+    assert len(every) > 12 >= len(few)
+    assert [sum(c[k] for c in every) for k in (1, 2)] == [sum(c[k] for c in few) for k in (1, 2)]
