@@ -28,11 +28,16 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (a local session in tests), a folder of this process.
+    A local session, which has one machine only, may do without: it gets a folder of the
+    process. Any other session without the setting is an error, as executors would not see
+    each other's files.
     """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir is not set: work tables need a folder that all executors of {master} share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="arborspark-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -40,7 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/arborspark-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/arborspark-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +62,39 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have: these, with as many underscores behind as it takes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(names: list[str]) -> list[Column]:
+    """Columns by their very names, dots and blanks in them included."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
+def least_hashed(rows: DataFrame, n: int) -> DataFrame:
+    """Of the distinct ``rows``, the n of the least hash of ``id`` (all, if there are fewer).
+
+    A hash threshold is set first so that about 2n distinct rows pass, and only these are
+    put in order: one task gets about 2n rows, whatever the table's size. Where repeated
+    ids let too few pass, the threshold is raised.
+    """
+    total, share = rows.count(), 2.0 * n
+    while total:
+        part = rows if share >= total else rows.where(F.xxhash64("id") < int(-(2**63) + 2**64 * (share / total)))
+        part = part.distinct()
+        if share >= total or part.count() >= n:
+            return part.orderBy(F.xxhash64("id"), *rows.columns).limit(n)
+        share *= 4
+    return rows
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

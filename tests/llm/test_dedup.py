@@ -121,6 +121,29 @@ def test_edited_texts_follow_the_ids(docs, none):
     assert fingerprints.fingerprint_documents(none).count() == 0
 
 
+def plain_chain(rows):
+    """(id, text, next text) by ascending id, null first, then XXH64 of the text; the first is followed by the last."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64(r[1].encode(), 42).intdigest() - (1 << 64) * (xxhash.xxh64(r[1].encode(), 42).intdigest() >> 63)))
+    return [(i, t, order[k - 1][1]) for k, (i, t) in enumerate(order)]
+
+
+@pytest.mark.parametrize("ids", ["distinct", "none", "one", "mixed"])
+def test_many_ranges_give_the_same_rows(spark, ids):
+    r = random.Random(4)
+    pick = {"distinct": lambda k: k * 7 % 1009, "none": lambda k: None, "one": lambda k: 5, "mixed": lambda k: r.choice([None, 9, 9, k])}[ids]
+    rows = [(pick(k), " ".join(r.choice("abcd") for _ in range(r.randint(0, 9)))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = []
+    for i, t, after in plain_chain(rows):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        c, ce, ca = (fingerprints.canonical(x) for x in (t, edited, after))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.digest(c), fingerprints.digest(ce), float(c == ce), float(c == ca)))
+    for per_range in (10, 1 << 14):
+        got = fingerprints.fingerprint_documents(df, per_range=per_range).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_canonical_form():
     same = ["Ｇröße  x", "größe x", "GRÖSSE X ", "grösse\tx"]
     assert len({fingerprints.canonical(t) for t in same}) == 1
