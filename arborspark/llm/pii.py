@@ -1,11 +1,18 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 High-recall generators propose overlapping spans; boosted trees score each by its format
-and the words before it; a calibrated threshold selects what is added to the base spans.
-The trees are fitted to weak labels, whether a candidate overlaps a verified base span,
-counted over all documents by feature cell. At most ``most_cells`` come to the driver: where
-there are more, features are read in coarser bins and the cells' counts are added up, so that
-every candidate stays counted. The fitted trees are one Spark expression.
+and the characters and words around it; a calibrated threshold selects what is added to the
+base spans. The labels are weak: whether a candidate overlaps a verified base span. What
+those rules demand by form (the plus sign, the exact pattern) is kept from the trees, so that
+they have to go by the rest, and a candidate that looks like verified ones but lacks the
+demanded form can be found. Numbers that fail a check (Luhn's sum, octets up to 255) say so
+in a feature; they are the clearest negatives.
+
+Trees are fitted on three of four texts and the threshold is set on the others, by a hash of
+the text, so that copies are on one side. Both count every candidate, by feature cell. At
+most ``most_cells`` come to the driver: where there are more, features are read in coarser
+bins and the cells' counts are added up. The fitted trees are one Spark expression. Chosen
+candidates that overlap a base span add nothing; the others are added as their union.
 
 Defined results: a null text counts as empty; a text without findings has counts 0 and the
 empty span string; without any candidate nothing is added; repeated rows and repeated or
@@ -21,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborspark.llm.common import table, text_of
-from arborspark.llm.spans import labelled, matches, written
+from arborspark.llm.spans import labelled, let, matches, merged, overlapping, written
 
 KINDS = ["email", "ip", "card", "phone", "likely"]
 #: Fixed patterns of the base kinds, without backtracking into runs: what follows a run is never in it.
@@ -29,12 +36,14 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Generators of candidates: anything with an at sign, dotted or coloned digits, long runs of digits.
-GENERATORS = [r"(?<![^\s<>(),;])[^\s@<>(),;]++@[^\s@<>(),;]++", r"(?<![0-9])[0-9]++(?:[.:][0-9]++){2,}+", r"[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9]){6,}+"]
-FEATURES = ("kind", "digits", "letters", "dots", "gaps", "plus", "length", "context")
+#: Generators of candidates: anything with an at sign, dotted or coloned digits, long runs of digits; digits do not begin or end inside a word.
+GENERATORS = [r"(?<![^\s<>(),;])[^\s@<>(),;]++@[^\s@<>(),;]++", r"(?<![0-9A-Za-z])[0-9]++(?:[.:][0-9]++){2,}+(?![0-9A-Za-z])", r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9]){6,}+(?![A-Za-z])"]
+FEATURES = ("kind", "digits", "failed", "dots", "gaps", "left", "right", "context")
 #: Those that are read in coarser bins where cells are too many; 63 is their last bin.
-BINNED = ("digits", "letters", "dots", "gaps", "length")
+BINNED = ("digits", "dots", "gaps", "left", "right")
 CONTEXT = r"(?i)(?:tel|phone|fon|call|mail|contact|card|karte|carte|tarjeta|ip|addr)[^\n]{0,16}$"
+#: Texts of which hash are kept for the threshold, of so many.
+APART, PARTS = 0, 4
 
 
 def luhn(text: Column) -> Column:
@@ -56,6 +65,17 @@ def base_spans(t: Column) -> list[Column]:
     return [matches(t, EMAIL, F.contains(t, F.lit("@"))), ip, card, phone]
 
 
+def side(c: Column) -> Column:
+    """What kind of character stands next to a candidate: none or white space, a letter, a digit, another one."""
+    return F.when((c == "") | c.rlike(r"^\s"), 0).when(c.rlike("^[A-Za-z]"), 1).when(c.rlike("^[0-9]"), 2).otherwise(3)
+
+
+def failed(s: Column) -> Column:
+    """Whether a text has the form of a card number or an address in digits, but not a right sum or right octets."""
+    octets = F.exists(F.split(s, r"\."), lambda p: F.right(p, F.lit(9)).cast("int") > 255)
+    return F.when(s.rlike(r"^[0-9]++(?:\.[0-9]++){3}$"), octets).otherwise(s.rlike(r"^[0-9](?:[\x20-]?[0-9])++$") & digits_of(s).between(13, 19) & ~luhn(s))
+
+
 def candidates(t: Column, base: Column) -> Column:
     """Proposed spans with features and the weak label."""
     has_digit = t.rlike("[0-9]")
@@ -70,18 +90,19 @@ def candidates(t: Column, base: Column) -> Column:
                 m["e"].alias("e"),
                 F.lit(kind).alias("kind"),
                 small(digits_of(s), 24).alias("digits"),
-                small(F.length(F.regexp_replace(s, "[^A-Za-z]", "")), 24).alias("letters"),
+                failed(s).cast("int").alias("failed"),
                 small(F.length(s) - F.length(F.translate(s, ".", "")), 5).alias("dots"),
                 small(F.length(s) - F.length(F.translate(s, " -/()", "")), 6).alias("gaps"),
-                F.startswith(s, F.lit("+")).cast("int").alias("plus"),
-                small(F.length(s), 40).alias("length"),
-                F.substring(t, F.greatest(m["s"] - 31, F.lit(1)), F.least(m["s"], F.lit(32))).rlike(CONTEXT).cast("int").alias("context"),
-                F.exists(base, lambda b: (b["s"] < m["e"]) & (b["e"] > m["s"])).cast("int").alias("label"),
+                side(F.right(m["before"], F.lit(1))).alias("left"),
+                side(m["after"]).alias("right"),
+                m["before"].rlike(CONTEXT).cast("int").alias("context"),
             )
 
         return made
 
-    return F.concat(*[F.transform(m, row(k)) for k, m in enumerate(found)])
+    every = F.concat(*[F.transform(m, row(k)) for k, m in enumerate(found)])
+    with_label = lambda c: F.zip_with(c, overlapping(c, base), lambda m, hit: F.struct(m["s"].alias("s"), m["e"].alias("e"), *[m[f].alias(f) for f in FEATURES], hit.cast("int").alias("label")))
+    return let(every, with_label)
 
 
 Tree = tuple  # a leaf: (value,); else (feature, threshold, tree at or below, tree above)
@@ -138,14 +159,19 @@ def _scaled(tree: Tree, by: float) -> Tree:
 
 
 def threshold(cells: list[tuple[tuple[int, ...], int, int]], start: float, trees: list[Tree], precision: float) -> float:
-    """The least margin from which on the cells' weak precision is as asked; none: infinity."""
-    scored = sorted(((start + sum(_value(t, x) for t in trees), n, p) for x, n, p in cells), reverse=True)
-    best, rows, up = math.inf, 0, 0
-    for m, n, p in scored:
-        rows, up = rows + n, up + p
-        if up >= precision * rows:
-            best = m
-    return best
+    """The least margin at which the calibrated share of positive rows is as asked; none: infinity.
+
+    The share is calibrated by isotonic regression on the margin, so it is that of the
+    candidates near the margin, not of all above it.
+    """
+    steps: list[list[float]] = []  # margin from which the step holds, rows, positive rows
+    for margin, n, p in sorted((start + sum(_value(t, x) for t in trees), n, p) for x, n, p in cells if n):
+        steps.append([margin, n, p])
+        while len(steps) > 1 and (steps[-2][0] == margin or steps[-2][2] * steps[-1][1] >= steps[-1][2] * steps[-2][1]):
+            _, more, up = steps.pop()
+            steps[-1][1] += more
+            steps[-1][2] += up
+    return min((margin for margin, n, p in steps if p >= precision * n), default=math.inf)
 
 
 def as_expression(tree: Tree, m: Column) -> Column:
@@ -155,17 +181,18 @@ def as_expression(tree: Tree, m: Column) -> Column:
     return F.when(m[FEATURES[f]] <= v, as_expression(low, m)).otherwise(as_expression(high, m))
 
 
-def collected(counts: DataFrame, most: int) -> list[tuple[tuple[int, ...], int, int]]:
-    """All counts by feature cell, the commonest first; in bins of doubled width until there are at most ``most``.
+def collected(counts: DataFrame, most: int) -> list[tuple[tuple[int, ...], tuple[int, int], tuple[int, int]]]:
+    """All counts by feature cell, rows and positive ones, to fit on and kept apart; in bins of doubled width until there are at most ``most``.
 
     A bin goes by its largest value, so a tree's threshold on bins holds for the values themselves.
     """
+    names = ("n", "up", "n_apart", "up_apart")
     for bits in range(1, 8):
         rows = counts.limit(most + 1).collect()
         if len(rows) <= most:
-            return sorted(((tuple(r[f] for f in FEATURES), r["n"], r["up"]) for r in rows), key=lambda c: (-c[1], c[0]))
+            return sorted(((tuple(r[f] for f in FEATURES), (r["n"], r["up"]), (r["n_apart"], r["up_apart"])) for r in rows), key=lambda c: (-c[1][0], c[0]))
         wide = [F.col(f).bitwiseOR(F.lit((1 << bits) - 1)).alias(f) if f in BINNED else F.col(f) for f in FEATURES]
-        counts = counts.select(*wide, "n", "up").groupBy(*FEATURES).agg(F.sum("n").alias("n"), F.sum("up").alias("up"))
+        counts = counts.select(*wide, *names).groupBy(*FEATURES).agg(*[F.sum(c).alias(c) for c in names])
     raise ValueError(f"more than {most} cells in the coarsest bins")
 
 
@@ -175,14 +202,17 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", precisio
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kinds = [labelled(m, k).alias(f"k{k}") for k, m in enumerate(base_spans(t))]
     rows = rows.select("id", "text", *kinds).withColumn("base", F.concat("k0", "k1", "k2", "k3"))
-    rows = table(rows.select("id", "base", candidates(t, F.col("base")).alias("proposed")), "pii-candidates")
-    each = rows.select(F.explode("proposed").alias("c")).select(*[F.col("c")[f].alias(f) for f in FEATURES], F.col("c")["label"].alias("label"))
-    counts = each.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("up"))
+    apart = F.pmod(F.xxhash64("text"), F.lit(PARTS)) == APART
+    rows = table(rows.select("id", "base", apart.alias("apart"), candidates(t, F.col("base")).alias("proposed")), "pii-candidates")
+    each = rows.select("apart", F.explode("proposed").alias("c")).select("apart", *[F.col("c")[f].alias(f) for f in FEATURES], F.col("c")["label"].alias("label"))
+    only = lambda kept, x: F.sum(F.when(F.col("apart") == kept, x).otherwise(0))
+    counts = each.groupBy(*FEATURES).agg(only(False, F.lit(1)).alias("n"), only(False, F.col("label")).alias("up"), only(True, F.lit(1)).alias("n_apart"), only(True, F.col("label")).alias("up_apart"))
     cells = collected(counts, most_cells)
     added = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
-    if cells:
-        start, trees = boost(cells)
-        least = threshold(cells, start, trees, precision)
+    fitted = [(x, *n) for x, n, _ in cells if n[0]]
+    if fitted:
+        start, trees = boost(fitted)
+        least = threshold([(x, *n) for x, _, n in cells], start, trees, precision)
         if least < math.inf:
 
             def chosen(m: Column) -> Column:
@@ -191,15 +221,15 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", precisio
                     total = total + as_expression(tree, m)
                 return total >= least - 1e-9
 
-            same = lambda m: F.exists("base", lambda b: (b["s"] == m["s"]) & (b["e"] == m["e"]))
-            picked = F.filter("proposed", lambda m: chosen(m) & ~same(m))
-            added = F.array_distinct(F.transform(picked, lambda m: F.struct(m["s"].alias("s"), F.lit(4).alias("k"), m["e"].alias("e"))))
+            picked = F.filter("proposed", lambda m: (m["label"] == 0) & chosen(m))
+            added = F.transform(merged(picked), lambda m: F.struct(m["s"].alias("s"), F.lit(4).alias("k"), m["e"].alias("e")))
     return rows.select(F.col("id").alias(id_col), "base", F.concat("base", added).alias("spans"))
 
 
 def find_query(df: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every document, by kind and then start."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans`` of every document, by kind and then start."""
     rows = find(df)
     by_kind = lambda c: F.transform(F.sort_array(F.transform(c, lambda m: F.struct(m["k"].alias("k"), m["s"].alias("s"), m["e"].alias("e")))), lambda m: F.struct(m["s"].alias("s"), m["k"].alias("k"), m["e"].alias("e")))
     count = lambda k: F.size(F.filter("base", lambda m: m["k"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
-    return rows.select("doc_id", *[count(k) for k in range(4)], F.sha2(written(by_kind(F.col("base")), KINDS).cast("binary"), 256).alias("base_sha256"), written(by_kind(F.col("spans")), KINDS).alias("spans"))
+    shown = lambda c: written(by_kind(F.col(c)), KINDS)
+    return rows.select("doc_id", *[count(k) for k in range(4)], F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))

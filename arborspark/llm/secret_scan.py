@@ -15,13 +15,14 @@ line that opens a private key, as in the SQL twin; a redaction takes the key wit
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import table_path, text_of
-from arborspark.llm.spans import labelled, matches, written
+from arborspark.llm.common import columns, fresh, table_path, text_of
+from arborspark.llm.spans import labelled, matches, merged, replaced, written
 
-RULE_VERSION = "2025.1"
 #: Fixed patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
@@ -33,6 +34,10 @@ MORE = {
     "chat": (r"xox[abprs]-[A-Za-z0-9-]{10,}", "xox"),
 }
 KINDS = ["assign", "access", "hex", *MORE]
+#: Least length of an assigned value.
+ASSIGNED = 6
+#: A digest of all rules, so that a ledger never takes findings of other rules for these.
+RULE_VERSION = hashlib.sha256(repr((KINDS, ASSIGN, ASSIGNED, ACCESS, HEX, MORE)).encode()).hexdigest()[:16]
 
 
 def blob_of(text: Column) -> Column:
@@ -43,7 +48,7 @@ def findings(blobs: DataFrame) -> DataFrame:
     """``blob, version, base, spans`` (arrays of ``struct<s, k, e>``) from ``blob, version, text``."""
     t = F.col("text")
     assign = matches(t, ASSIGN, F.contains(t, F.lit("=")) | F.contains(t, F.lit(":")))
-    assign = F.filter(assign, lambda m: F.length(F.regexp_extract(m["t"], ASSIGN, 2)) >= 6)
+    assign = F.filter(assign, lambda m: F.length(F.regexp_extract(m["t"], ASSIGN, 2)) >= ASSIGNED)
     base = [assign, matches(t, ACCESS, F.contains(t, F.lit("AKIA"))), matches(t, HEX)]
     more = [matches(t, p, F.contains(t, F.lit(part))) for p, part in MORE.values()]
     parts = [labelled(m, k).alias(f"k{k}") for k, m in enumerate([*base, *more])]
@@ -63,7 +68,9 @@ class Ledger:
         spark.createDataFrame([], self.SCHEMA).write.mode("append").parquet(self.path)
 
     def rows(self, version: str) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("version") == version)
+        """One row for each blob, also where two scanners that ran at once have both appended it."""
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("version") == version)
+        return rows.groupBy("blob").agg(F.min(F.struct("base", "spans")).alias("found")).select("blob", "found.base", "found.spans")
 
     def update(self, texts: DataFrame, version: str) -> None:
         """Scan what is unseen of ``blob, text``."""
@@ -114,20 +121,13 @@ def key_end(t: Column, m: Column) -> Column:
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", ledger_path: str | None = None, version: str = RULE_VERSION) -> DataFrame:
     """All rows and columns of ``df``, the union of each text's spans, private keys whole, replaced by ``mark``; null texts stay null."""
-    names = df.columns
+    blob, found_blob, found_spans = fresh(df, "blob", "found_blob", "found_spans")
     ledger = Ledger(df.sparkSession, ledger_path)
-    texts = df.withColumn("__blob", blob_of(text_of(text_col)))
-    ledger.update(texts.select(F.col("__blob").alias("blob"), text_of(text_col).alias("text")), version)
-    found = ledger.rows(version).where(F.size("spans") > 0).select(F.col("blob").alias("__found"), F.col("spans").alias("__spans"))
-    t = text_of(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.greatest(m["s"] - acc["at"], F.lit(0))), F.when(m["s"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], m["e"]).alias("at"), new.alias("out"))
-
-    pem = KINDS.index("pem")
-    whole = F.transform("__spans", lambda m: F.struct(m["s"].alias("s"), F.when(m["k"] == pem, key_end(t, m)).otherwise(m["e"]).alias("e")))
-    clean = F.aggregate(whole, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    out = texts.join(found, F.col("__blob") == F.col("__found"), "left")
-    return out.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(clean)).select(names)
+    texts = df.withColumn(blob, blob_of(text_of(text_col)))
+    ledger.update(texts.select(F.col(blob).alias("blob"), text_of(text_col).alias("text")), version)
+    found = ledger.rows(version).where(F.size("spans") > 0).select(F.col("blob").alias(found_blob), F.col("spans").alias(found_spans))
+    t, pem = text_of(text_col), KINDS.index("pem")
+    whole = F.transform(found_spans, lambda m: F.struct(m["s"].alias("s"), F.when(m["k"] == pem, key_end(t, m)).otherwise(m["e"]).alias("e")))
+    clean = replaced(t, merged(whole), mark)
+    out = texts.join(found, F.col(blob) == F.col(found_blob), "left")
+    return out.withColumn(text_col, F.when(F.col(found_spans).isNull(), F.col(text_col)).otherwise(clean)).select(columns(df.columns))

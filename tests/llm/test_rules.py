@@ -2,11 +2,14 @@
 
 import collections
 import hashlib
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from arborspark.llm import mixing, pii, quality_rules, secret_scan
+from arborspark.llm import mixing, pii, quality_rules, secret_scan, spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -199,3 +202,87 @@ def test_every_candidate_is_counted_in_few_cells(spark, monkeypatch):
     every, few = seen
     assert len(every) > 12 >= len(few)
     assert [sum(c[k] for c in every) for k in (1, 2)] == [sum(c[k] for c in few) for k in (1, 2)]
+
+
+def test_many_matches_in_one_text(spark):
+    n = 6000
+    texts = ["ab cd a.b@c.de " * n, "x 10.2.3.4 y +49 30 123456, " * n, "pw secret=abcdefgh1 " * n, "4539148803436467 4539148803436468;" * n]
+    df = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    start = time.time()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert {r["doc_id"]: r["base_sha256"] for r in pii.find_query(df).collect()} == {k: sha(plain_pii(t)) for k, t in enumerate(texts)}
+    assert {r["doc_id"]: r["base_sha256"] for r in secret_scan.scan_query(df).collect()} == {k: sha(plain_secrets(t)) for k, t in enumerate(texts)}
+    assert [r["text"] for r in secret_scan.redact(df).orderBy("doc_id").collect()] == [re.sub("secret=abcdefgh1", "[SECRET]", t) for t in texts]
+    assert time.time() - start < 60
+
+
+def test_span_functions_equal_plain_ones(spark):
+    r = random.Random(6)
+    some = lambda n: [(s := r.randrange(60), s + r.randint(1, 7)) for _ in range(n)]
+    rows = [(some(r.randint(0, 40)), some(r.randint(0, 12)), [r.randint(-9, 9) for _ in range(r.randint(0, 50))]) for _ in range(60)]
+    df = spark.createDataFrame(rows, "a array<struct<s:int,e:int>>, b array<struct<s:int,e:int>>, v array<int>")
+    got = df.select("a", "b", "v", spans.overlapping(F.col("a"), F.col("b")).alias("hit"), spans.merged(F.col("a")).alias("m"), spans.running(F.col("v"), lambda x, y: x + y, 0).alias("sums"), spans.replaced(F.lit("é" * 70), spans.merged(F.col("a")), "#").alias("t")).collect()
+    for g in got:
+        assert g["hit"] == [any(b["s"] < a["e"] and b["e"] > a["s"] for b in g["b"]) for a in g["a"]]
+        assert g["sums"] == [sum(g["v"][: k + 1]) for k in range(len(g["v"]))]
+        apart = []
+        for s, e in sorted(map(tuple, g["a"])):
+            if apart and s < apart[-1][1]:
+                apart[-1] = (apart[-1][0], max(e, apart[-1][1]))
+            else:
+                apart.append((s, e))
+        assert [tuple(m) for m in g["m"]] == apart
+        text, at = "", 0
+        for s, e in apart:
+            text, at = text + "é" * (s - at) + "#", e
+        assert g["t"] == text + "é" * (70 - at)
+
+
+def test_what_lacks_the_demanded_form_is_added(spark):
+    """Phone numbers are verified by their plus sign only; the same without it is found, dates, failed sums and parts of words are not."""
+    r = random.Random(8)
+    phone = lambda: f"({r.randint(100, 999)}) 555-{r.randint(1000, 9999)}"
+    rows = [(k, f"call me at +{r.randint(1, 9)} {phone()} please") for k in range(300)]
+    rows += [(k, f"on 2024-{r.randint(10, 12)}-{r.randint(10, 28)} we met and nobody knew it") for k in range(300, 400)]
+    rows += [(k, f"number {r.randrange(10**15, 10**16) * 10 + 5} here") for k in range(400, 460)]
+    rows += [(500, f"call me at 1 {phone()} please"), (501, "digest 4d15ec8f90433955abf9d3cf6 here"), (502, "on 2024-11-12 we met")]
+    got = {x["doc_id"]: x["spans"] for x in pii.find_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[500] == "likely:11:27"
+    assert not any("likely" in s for k, s in got.items() if k != 500)
+
+
+def test_threshold_goes_by_the_share_near_it():
+    cells = [((k, 0, 0, 0, 0, 0, 0, 0), n, p) for k, n, p in ((0, 100, 1), (1, 10, 2), (2, 100, 99))]
+    start, trees = pii.boost(cells)
+    margin = lambda k: start + sum(pii._value(t, cells[k][0]) for t in trees)
+    assert pii.threshold(cells, start, trees, 0.8) == pytest.approx(margin(2))
+    assert pii.threshold([], start, trees, 0.8) == float("inf")
+
+
+def test_two_scanners_at_once_give_each_row_once(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    first = secret_scan.scan(docs, ledger_path=path).collect()
+    ledger = secret_scan.Ledger(spark, path)
+    spark.read.schema(ledger.SCHEMA).parquet(path).write.mode("append").parquet(path + "-copy")
+    spark.read.schema(ledger.SCHEMA).parquet(path + "-copy").write.mode("append").parquet(path)
+    again = secret_scan.scan(docs, ledger_path=path).collect()
+    assert sorted(first, key=repr) == sorted(again, key=repr)
+
+
+def test_redaction_with_clashing_columns(docs):
+    names = ["blob", "found_blob", "found_spans", "__blob", "spans"]
+    df = docs.drop("blob").selectExpr("*", *[f"'{n}' as `{n}`" for n in names])
+    got = secret_scan.redact(df)
+    assert got.columns == df.columns
+    assert all(r[n] == n for r in got.collect() for n in names)
+
+
+def test_rule_list_as_an_expression(spark):
+    r = random.Random(9)
+    rows = [{f: round(r.random(), 2) for f in quality_rules.FEATURES} for _ in range(300)] + [dict.fromkeys(quality_rules.FEATURES, 0.5)]
+    rules = [[("symbol_share", ">=", 0.5), ("upper_share", "<=", 0.5)], [("symbol_share", ">=", 0.5)], [("repeat_share", "<=", 0.2)], [("repeat_share", "<=", 0.2)]]
+    df = spark.createDataFrame([tuple(x.values()) for x in rows], ", ".join(f"{f} double" for f in quality_rules.FEATURES))
+    got = df.select("*", quality_rules.rejected(rules).alias("rule")).collect()
+    for g in got:
+        assert g["rule"] == next((k for k, rule in enumerate(rules, 1) if quality_rules._holds(g.asDict(), rule)), None)
+    assert {g["rule"] for g in got} == {1, 2, 3, None}
