@@ -3,11 +3,13 @@
 Pieces are counted once for each distinct pre-token of the whole corpus; per-document
 pre-token frequencies are joined to those counts and summed. No ids are materialised.
 The most frequent pre-tokens, a table of fixed size, are joined on the map side, so no
-join key is hot; only the rest is shuffled.
+join key is hot; only the rest is shuffled, each by a 64-bit hash of it. Pre-tokens whose
+hashes clash, which the distinct ones tell, are joined on the map side as well, so that
+counts are exact.
 
 A pre-token is a run of spaces with the non-spaces behind it: no piece of the vocabulary
 has a space mark behind another character, so no merge crosses such a boundary
-(:func:`boundaries_hold` checks it on the model).
+(:func:`boundaries_hold` checks it on the model before anything is counted).
 
 Defined results: a null text counts as empty; the empty text has 0 bytes and 0 tokens;
 repeated rows and repeated or null ids give one row each; an empty table gives an empty
@@ -27,6 +29,8 @@ from arborspark.llm.common import prepare, table, text_of
 
 #: Pre-tokens joined on the map side, at most, and the characters of each: under 64 MB.
 HOT_ENTRIES, HOT_CHARS = 1 << 18, 48
+#: Distinct pre-tokens whose hashes clash, at most: at 10^10 of them about three pairs are to be expected.
+CLASHES = 1 << 12
 #: The space mark of the vocabulary, a fixed value.
 MARK = "▁"
 
@@ -81,29 +85,63 @@ def _distinct(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "pre_token string, n bigint").groupBy("pre_token").agg(F.sum("n").alias("n"))
 
 
+def key_of(pre_token: str) -> int:
+    """A 64-bit hash as a signed long."""
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(pre_token)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _pieces(distinct: DataFrame, path: str) -> DataFrame:
-    """``pre_token, n, n_pieces``: the model is asked once for each distinct pre-token.
+    """``pre_token, key, n, n_pieces``: the model is asked once for each distinct pre-token.
 
     The model puts a mark in front itself; a mark that stands alone is one piece.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = model(path).encode(batch.column(0).to_pylist(), num_threads=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([max(1, len(x)) for x in ids], pa.int64())], ["pre_token", "n", "n_pieces"])
+            words = batch.column(0).to_pylist()
+            ids = model(path).encode(words, num_threads=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(key_of, words), pa.int64()), batch.column(1), pa.array([max(1, len(x)) for x in ids], pa.int64())], ["pre_token", "key", "n", "n_pieces"])
+
+    return distinct.mapInArrow(run, "pre_token string, key bigint, n bigint, n_pieces bigint")
 
-    return distinct.mapInArrow(run, "pre_token string, n bigint, n_pieces bigint")
+
+def hot_rows(counts: DataFrame) -> DataFrame:
+    """``pre_token, n_pieces`` of the most frequent pre-tokens, at most HOT_ENTRIES, and of those whose hashes clash.
+
+    A cut-off frequency comes from a histogram with 16 bins for each doubling, a thousand
+    rows at most; the pre-tokens at or above it are then filtered, not sorted.
+    """
+    short = counts.where(F.length("pre_token") <= HOT_CHARS)
+    level = F.floor(F.log2("n") * 16).cast("int")
+    bins = sorted(((r["level"], r["size"]) for r in short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect()), reverse=True)
+    least, total = None, 0
+    for at, size in bins:
+        total += size
+        if total > HOT_ENTRIES:
+            break
+        least = at
+    twice = counts.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
+    clash = counts.join(twice, "key", "left_semi").select("pre_token", "n_pieces").limit(CLASHES + 1)
+    hot = short.where(level >= least) if least is not None else short.limit(0)
+    return hot.select("pre_token", "n_pieces").unionByName(clash)
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """``id_col, n_bytes, n_tokens, over_limit`` of every document."""
+    if not boundaries_hold(path):
+        raise ValueError(f"a piece of {path} has a space mark behind another character: pre-tokens cannot be counted on their own")
     spark = df.sparkSession
     prepare(spark)
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     counts = table(_pieces(_distinct(docs), path), "pre-token-pieces")
-    hot_rows = counts.where(F.length("pre_token") <= HOT_CHARS).orderBy(F.desc("n"), "pre_token").limit(HOT_ENTRIES).select("pre_token", "n_pieces")
-    hot = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in hot_rows.toArrow().columns), strict=True)))
+    rows = hot_rows(counts).toArrow()
+    if rows.num_rows > HOT_ENTRIES + CLASHES:
+        raise ValueError("too many pre-tokens share a hash")
+    hot = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in rows.columns), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value.get
@@ -113,10 +151,10 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
-        types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-        names = ["id", "row", "n_bytes", "n_hot", "pre_token", "n"]
+        types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["id", "row", "n_bytes", "n_hot", "key", "n"]
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 row += 1
                 raw = text.as_py()
                 total, rest = 0, []
@@ -126,12 +164,12 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     else:
                         total += c
                 tail = Counter(rest)
-                tail[None] = 0
-                for k, column in enumerate(([key], [row], [len(raw.encode())], [total])):
-                    out[k].extend(column)
-                    out[k].extend([None if k > 1 else column[0]] * (len(tail) - 1))
-                out[4].extend([None, *[p for p in tail if p is not None]])
-                out[5].extend([None, *[c for p, c in tail.items() if p is not None]])
+                for k, first in enumerate((id_, row, len(raw.encode()), total, None, None)):
+                    out[k].append(first)
+                    if k < 4:
+                        out[k].extend([row if k == 1 else None] * len(tail))
+                out[4].extend([key_of(p) for p in tail])
+                out[5].extend(tail.values())
                 if len(out[0]) >= 20_000:
                     yield flush()
                     out = ([], [], [], [], [], [])
@@ -143,14 +181,15 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         docs = docs.withColumn("id", F.col("id").cast("string"))
         kind = "string"
     # A document is known by its partition and place in it, as ids may repeat or be null.
-    parts = docs.mapInArrow(run, f"id {kind}, row bigint, n_bytes bigint, n_hot bigint, pre_token string, n bigint").withColumn("part", F.spark_partition_id())
+    parts = docs.mapInArrow(run, f"id {kind}, row bigint, n_bytes bigint, n_hot bigint, key bigint, n bigint").withColumn("part", F.spark_partition_id())
     parts = table(parts, "pre-token-frequencies")
     tail = (
-        parts.where("pre_token is not null")
-        .join(counts.select("pre_token", "n_pieces"), "pre_token")
+        parts.where("key is not null")
+        .select("part", "row", "key", "n")
+        .join(counts.select("key", "n_pieces"), "key")
         .groupBy("part", "row")
         .agg(F.sum(F.col("n") * F.col("n_pieces")).alias("n_tail"))
     )
-    heads = parts.where("pre_token is null").select("part", "row", "id", "n_bytes", "n_hot")
+    heads = parts.where("key is null").select("part", "row", "id", "n_bytes", "n_hot")
     n = F.col("n_hot") + F.coalesce("n_tail", F.lit(0))
     return heads.join(tail, ["part", "row"], "left").select(F.col("id").alias(id_col), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))

@@ -86,3 +86,43 @@ def test_token_counts_with_a_small_hot_table(spark, docs, monkeypatch):
     whole = sorted(map(tuple, token_counts.count_tokens(docs, PIECE).collect()), key=repr)
     monkeypatch.setattr(token_counts, "HOT_ENTRIES", 2)
     assert sorted(map(tuple, token_counts.count_tokens(docs, PIECE).collect()), key=repr) == whole
+
+
+def test_small_windows_cut_no_word(monkeypatch):
+    lib, own = Tokenizer.from_file(WORD), bpe_stream.WordBPE(WORD)
+    more = ["it's", "''s'", "-'re", "x-", "a1b2", "don't!'ll", "..", "<|endoftext|>x", "ab" * 40]
+    r = random.Random(7)
+    for window in (1, 3, 17):
+        monkeypatch.setattr(bpe_stream, "WINDOW_CHARS", window)
+        for _ in range(400):
+            t = "".join(r.choice(PARTS + more) for _ in range(r.randint(0, 25)))
+            ids = lib.encode(t, add_special_tokens=False).ids
+            assert own.encode(t) == ids
+            assert bpe_stream.digest(own, t)[0] == len(ids)
+            assert "".join(own.decode_chunks(own.encode_chunks(t))) == lib.decode(ids, skip_special_tokens=False)
+
+
+def test_the_machine_keeps_bytes_of_unfinished_characters():
+    own = bpe_stream.WordBPE(WORD)
+    for t in ("日本 语", "a😀b é", "<|endoftext|>😀"):
+        ids = [i for c in t.encode() for i in [own.vocab[own.bytes[c]]]] if "<" not in t else own.encode(t)
+        out = [*own.decode_text(iter(ids))]
+        assert "�" not in "".join(out)
+
+
+def test_clashing_hashes_are_counted_exactly(spark, docs, monkeypatch):
+    whole = sorted(map(tuple, token_counts.count_tokens(docs, PIECE).collect()), key=repr)
+    real = token_counts.key_of
+    monkeypatch.setattr(token_counts, "key_of", lambda p: real(p) % 3 if len(p) < 6 else real(p))
+    monkeypatch.setattr(token_counts, "HOT_ENTRIES", 2)
+    assert sorted(map(tuple, token_counts.count_tokens(docs, PIECE).collect()), key=repr) == whole
+
+
+def test_hot_pretokens_come_from_a_cut_off(spark, monkeypatch):
+    counts = spark.createDataFrame([(f"w{k}", k, k, 1) for k in range(1, 2000)] + [("x" * 60, 7, 10**9, 1)], "pre_token string, key long, n long, n_pieces long")
+    monkeypatch.setattr(token_counts, "HOT_ENTRIES", 300)
+    got = {r["pre_token"] for r in token_counts.hot_rows(counts).collect()}
+    clash = {f"w{7}", "x" * 60}
+    assert clash <= got and len(got - clash) <= 300 and "w1999" in got
+    least = min(int(w[1:]) for w in got - clash)
+    assert {f"w{k}" for k in range(least, 2000)} <= got
