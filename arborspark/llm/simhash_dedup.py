@@ -5,11 +5,13 @@ agree on at least one of four 16-bit blocks, so each distinct fingerprint is sen
 shards, one for each block value. A shard's BK-tree keys a node's children by their
 integer Hamming distance to it; a search follows only edges within the radius. A shard
 too large for one tree is dealt again by the same argument on the bits that are left, so
-no link is lost and no bucket is capped. A tree hands on a star for each of its local
+no link is lost and no bucket is capped; after the last level nine bits are left, so that
+no shard can hold more than 512 fingerprints. A tree hands on a star for each of its local
 components, not its pairs; stars are merged by alternating large and small stars.
 
 The trees go where their queries are, with the shuffle, rather than to every executor:
-taken together they grow with the corpus, so a broadcast of them has no size bound.
+a broadcast passes through the driver, and all trees together are the fingerprints of all
+documents, which have no size bound and must not be gathered there.
 
 Defined results: a null text counts as empty; texts without words have fingerprint 0 and
 are linked like any other; copies share a fingerprint and so a component; null ids never
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import prepare, table, text_of
+from arborspark.llm.common import columns, fresh, prepare, table, text_of
 
 RADIUS, SEED = 3, 42
 #: Distinct fingerprints in one tree, at most, as long as bits are left to deal them by.
 TREE_ENTRIES = 2048
-#: Bits of the blocks at each level: four blocks of 16, then of the other 48, 36 and 27 bits.
-LEVELS = (16, 12, 9)
+#: Bits of the blocks at each level, four of them within the bits that are left: 64, 48, 36, 27, 21, 16, 12; 9 remain.
+LEVELS = (16, 12, 9, 6, 5, 4, 3)
 
 
 def shingle_hashes(text: str, k: int = 3) -> list[int]:
@@ -140,7 +142,7 @@ def _dealt(points: DataFrame, width: int) -> DataFrame:
     rows = points.select("key", "fp", "rest", blocks)
     value = F.expr(f"shiftrightunsigned(rest, block * {width}) & {(1 << width) - 1}L")
     low = F.expr(f"rest & (shiftleft(1L, block * {width}) - 1L)")
-    high = F.expr(f"if(block = 3, 0L, shiftleft(shiftrightunsigned(rest, (block + 1) * {width}), block * {width}))")
+    high = F.expr(f"if((block + 1) * {width} >= 64, 0L, shiftleft(shiftrightunsigned(rest, (block + 1) * {width}), block * {width}))")
     return rows.select(F.concat_ws(".", "key", F.concat_ws(":", "block", value)).alias("key"), "fp", low.bitwiseOR(high).alias("rest"))
 
 
@@ -235,9 +237,10 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     stands on texts of several components keeps a row in each that it names.
     """
     prints, labels = _labelled(df, id_col, text_col)
+    (key,) = fresh(df, "row_key")
     # What tells the rows of a component apart, in order of preference; copies are folded before the join.
     rank = F.struct(F.col("id").isNull().alias("bare"), F.col("id"), F.when(F.col("id").isNull(), F.col("fp")).alias("fp"), F.col("text_hash"))
     best = prints.groupBy("fp").agg(F.min(rank).alias("best")).join(labels, F.col("fp") == F.col("label_fp"))
-    keep = best.groupBy("root").agg(F.min("best").alias("best")).select(F.struct("best.id", "best.text_hash").alias("__key")).distinct()
-    keyed = df.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash")))
-    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(df.columns)
+    keep = best.groupBy("root").agg(F.min("best").alias("best")).select(F.struct("best.id", "best.text_hash").alias(key)).distinct()
+    keyed = df.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash")))
+    return keyed.join(keep, key, "left_semi").dropDuplicates([key]).select(columns(df.columns))
