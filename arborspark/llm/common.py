@@ -95,6 +95,18 @@ def least_hashed(rows: DataFrame, n: int) -> DataFrame:
     return rows
 
 
+def texts_of(docs: DataFrame, sample: DataFrame, name: str) -> DataFrame:
+    """``docs(id, text)`` with the columns of a bounded ``sample(id, label)``, one row for each row of it, written down.
+
+    An id on several rows has the text of the least hash, so that the table is bounded by
+    the sample; its rows are folded before the shuffle.
+    """
+    rows = docs.join(F.broadcast(sample.withColumnRenamed("id", "sample_id")), F.col("id") == F.col("sample_id"))
+    least = F.min(F.struct(F.xxhash64("text").alias("mark"), F.col("text"))).alias("least")
+    once = rows.groupBy("id", "label").agg(least).select("id", "least.text", "label")
+    return table(once.repartition(partitions(docs.sparkSession), "id"), name)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -82,24 +82,45 @@ def word_prefixes(text: str, bits: int, lengths: tuple[int, ...] = (4, 5, 6, 7,
 
 
 def shape_ngrams(text: str, bits: int, most: int = 4) -> Iterator[np.ndarray]:
-    """Hashed n-grams over the runs of character classes, over bytes, and over runs of one word."""
+    """Hashed n-grams over the runs of character classes, over bytes, and over runs of one word.
+
+    What an n-gram needs from before a cut is carried over it: the last runs, the last
+    byte, and the last word with its number of repetitions.
+    """
+    runs_before, byte_before = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    word, times = None, 0
     for b in pieces(text.encode()):
         shape = _SHAPE[b]
         runs = shape[np.concatenate(([True], shape[1:] != shape[:-1]))].astype(np.uint64)
-        h = runs
+        if len(runs_before) and runs_before[-1] == runs[0]:
+            runs = runs[1:]
         for n in range(1, most + 1):
-            if len(runs) < n:
-                break
-            h = runs if n == 1 else h[:-1] * np.uint64(257) + runs[n - 1 :]
-            yield fold(h, n, bits)
-        if len(b) > 1:
-            yield fold(b[:-1].astype(np.uint64) * np.uint64(256) + b[1:], 16, bits)
+            seq = np.concatenate((runs_before[len(runs_before) - min(n - 1, len(runs_before)) :], runs))
+            if len(seq) >= n:
+                h = seq[: len(seq) - n + 1]
+                for k in range(1, n):
+                    h = h * np.uint64(257) + seq[k : len(seq) - n + 1 + k]
+                yield fold(h, n, bits)
+        runs_before = np.concatenate((runs_before, runs))[-(most - 1) :]
+        wide = np.concatenate((byte_before, b.astype(np.uint64)))
+        if len(wide) > 1:
+            yield fold(wide[:-1] * np.uint64(256) + wide[1:], 16, bits)
+        byte_before = wide[-1:]
         starts, ends = spans(_WORD[b])
-        if len(starts) > 1:
+        if len(starts):
             w = span_hashes(b, starts, ends)
-            first, last = spans(w[1:] == w[:-1])
-            if len(first):
-                yield fold(np.minimum(last - first, 6).astype(np.uint64), 17, bits)
+            first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            long = np.diff(np.append(first, len(w)))
+            if word is not None and word == w[0]:
+                long[0] += times
+            elif times > 1:
+                yield fold(np.array([min(times - 1, 6)], np.uint64), 17, bits)
+            word, times = w[-1], int(long[-1])
+            done = long[:-1][long[:-1] > 1]
+            if len(done):
+                yield fold(np.minimum(done - 1, 6).astype(np.uint64), 17, bits)
+    if times > 1:
+        yield fold(np.array([min(times - 1, 6)], np.uint64), 17, bits)
 
 
 def indicators(features: Iterator[np.ndarray], mark: np.ndarray) -> np.ndarray:

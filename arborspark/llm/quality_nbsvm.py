@@ -4,14 +4,15 @@ N-gram indicators are scaled by the class log-count ratio of their n-gram; a lin
 with hinge loss is fitted to the scaled indicators by dual coordinate descent, and its
 margin is turned into a probability on rows kept out of that fit.
 
-The model is fitted on a bounded sample of labelled rows (``sample`` of each class, those
-of the least id hash); scoring covers every whole text in one map pass without a shuffle.
+The model is fitted on a bounded sample of labelled rows (``per_class`` ids of each class,
+those of the least hash); scoring covers every whole text in one map pass without a shuffle.
 
 Defined results: a null text counts as empty, and the empty text has the score of the
 bias alone; rows without a label, or with a null one, are scored but not learned from; a
 null id is in no held-out fold; with labels of one class only, every score is that class's
-share; with none, 0.5; an id labelled twice counts as often; repeated rows give repeated
-rows; an empty table gives an empty table; other columns are dropped.
+share; with none, 0.5; an id labelled twice alike counts once, and where it stands on
+several texts the one of the least hash is learned from; repeated rows give repeated rows;
+an empty table gives an empty table; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import fold_of, prepare, text_of
+from arborspark.llm.common import fold_of, least_hashed, prepare, text_of, texts_of
 from arborspark.llm.ngrams import indicators, shape_ngrams
 
 BITS = 16
@@ -115,13 +116,10 @@ def fit(rows: list[np.ndarray], labels: list[int], c: float = 0.05, epochs: int
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, per_class: int, train: F.Column = None) -> DataFrame:
-    """``text, label`` of at most so many rows of each label, those of the least id hash."""
+    """``id, text, label`` of at most so many ids of each label, written down."""
     wanted = labels.where("label in (0, 1) and id is not null" if train is None else train & F.expr("label in (0, 1) and id is not null"))
-    picked = None
-    for k in (0, 1):
-        part = wanted.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class).select(F.col("id").alias("label_id"), "label")
-        picked = part if picked is None else picked.unionByName(part)
-    return docs.join(F.broadcast(picked), F.col("id") == F.col("label_id")).select("id", "text", "label")  # 2 x per_class rows of two numbers
+    parts = [least_hashed(wanted.where(F.col("label") == k).select("id", "label"), per_class) for k in (0, 1)]
+    return texts_of(docs, parts[0].unionByName(parts[1]), "quality-sample")
 
 
 def train_model(docs: DataFrame, labels: DataFrame, per_class: int = 2500, train: F.Column = None) -> Model:

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import fold_of, table, text_of
+from arborspark.llm.common import fold_of, least_hashed, table, text_of, texts_of
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -162,13 +162,13 @@ def rejected(rules: list[Rule]) -> Column:
 
 def learn_from(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, train: Column) -> list[Rule]:
     known = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and key is not null").where(train)
-    least = lambda k: known.where(F.col("label") == k).orderBy(F.xxhash64("key"), "key").limit(per_class)
-    picked = F.broadcast(least(0).unionByName(least(1)))  # 2 x per_class rows of two numbers
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(picked, F.col("__id") == F.col("key"))
-    rows = with_statistics(texts.select(F.struct("__id", "label").alias("both"), "__text"), "both", "__text")
+    parts = [least_hashed(known.where(F.col("label") == k).select(F.col("key").alias("id"), "label"), per_class) for k in (0, 1)]
+    docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    texts = texts_of(docs, parts[0].unionByName(parts[1]), "rules-sample")
+    rows = with_statistics(texts.select(F.struct("id", "label").alias("both"), "text"), "both", "text")
     # Not filtered in Spark: a pushed-down filter would compute the statistics anew inside its own condition.
-    got = rows.select("id.*", base_failed().alias("failed"), *FEATURES).collect()
-    got = sorted((r for r in got if not r["failed"]), key=lambda r: (str(r["__id"]), r["label"]))
+    got = rows.select("id.id", "id.label", base_failed().alias("failed"), *FEATURES).collect()
+    got = sorted((r for r in got if not r["failed"]), key=lambda r: (str(r["id"]), r["label"]))
     return learn([({f: r[f] for f in FEATURES}, r["label"] == 0) for r in got])
 
 
