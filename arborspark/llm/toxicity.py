@@ -7,8 +7,14 @@ times the positives' loss as negatives, that difference held at zero from below.
 
 The features are words and word beginnings, and whether they occur once, twice or four
 times: those that tell positives from unlabelled texts best, chosen from all of the
-sample's. The sample is bounded: ``positives`` confirmed rows and ``unlabelled`` texts,
-those of the least id hash. Scoring covers every whole text in one map pass.
+sample's. The sample is bounded: ``positives`` confirmed ids and ``unlabelled`` ids, those
+of the least hash. Scoring covers every whole text in one map pass.
+
+How many features and how much decay are chosen by folds inside that sample, by a measure
+that needs no clean text: the squared recall of confirmed texts over the share of unlabelled
+ones that are called toxic. Rows kept out of the training fold have no part in it. The class
+prior is the confirmed share of the labelled rows learned from, as labels are taken to cover
+the corpus evenly; where they do not, it is to be given.
 
 Defined results: a null text counts as empty, and a text without words has the score of
 the bias alone; null labels are not learned from; with no confirmed toxic row every score
@@ -25,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from arborspark.llm.common import fold_of, prepare, text_of
+from arborspark.llm.common import columns, fold_of, fresh, least_hashed, prepare, text_of, texts_of
 from arborspark.llm.ngrams import word_prefixes
 
 BITS, FEATURES = 20, 256
@@ -107,18 +114,51 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return w, float(b)
 
 
-def train_model(docs: DataFrame, labels: DataFrame, train: Column, positives: int = 2000, unlabelled: int = 6000, prior: float | None = None) -> Model | None:
-    """From ``docs(id, text)`` and ``labels(id, label)``; the prior is the confirmed share of the rows learned from unless given."""
+def columns_of(features: int) -> np.ndarray:
+    """The places of the first so many features among all tiers."""
+    return np.concatenate([np.arange(features) + k * FEATURES for k in range(len(TIERS))])
+
+
+def settle(x: dict[bool, np.ndarray], prior: float, settings: tuple[tuple[int, float], ...], folds: int, threshold: float) -> tuple[int, float]:
+    """The setting of the best squared recall over called share, on folds of both kinds of texts; the first of equals."""
+    best, chosen = -1.0, settings[0]
+    for setting in settings if min(map(len, x.values())) >= folds else ():
+        features, decay = setting
+        cols = columns_of(features)
+        recall, called = [], []
+        for f in range(folds):
+            inner = {k: np.arange(len(v)) % folds != f for k, v in x.items()}
+            w, b = fit(x[True][inner[True]][:, cols], x[False][inner[False]][:, cols], prior, decay=decay)
+            says = lambda k: x[k][~inner[k]][:, cols] @ w + b >= np.log(threshold / (1 - threshold))
+            recall.append(says(True).mean())
+            called.append(says(False).mean())
+        value = float(np.mean(recall)) ** 2 / max(float(np.mean(called)), 1e-4)
+        if value > best + 1e-9:
+            best, chosen = value, setting
+    return chosen
+
+
+def train_model(
+    docs: DataFrame,
+    labels: DataFrame,
+    train: Column,
+    positives: int = 2000,
+    unlabelled: int = 6000,
+    prior: float | None = None,
+    settings: tuple[tuple[int, float], ...] = ((FEATURES, 5e-4), (FEATURES // 2, 5e-4), (FEATURES, 5e-3)),
+    inner_folds: int = 2,
+    threshold: float = 0.3,
+) -> Model | None:
+    """From ``docs(id, text)`` and ``labels(id, label)``; ``settings`` are numbers of features and decays to choose from."""
     spark = docs.sparkSession
     known = labels.where(train & F.col("label").isNotNull() & F.col("id").isNotNull())
     n_known, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n_toxic:
         return None
     prior = prior or min(0.9, n_toxic / n_known)
-    pick = lambda rows, n: rows.orderBy(F.xxhash64("id"), "id").limit(n)
-    sampled = pick(known.where("label = 1").select("id"), positives).select(F.col("id").alias("key"), F.lit(True).alias("positive"))
-    sampled = sampled.unionByName(pick(docs.where("id is not null").select("id"), unlabelled).select(F.col("id").alias("key"), F.lit(False).alias("positive")))
-    texts = docs.join(F.broadcast(sampled), F.col("id") == F.col("key")).select("text", "positive")  # of fixed size: the two bounds
+    sampled = least_hashed(known.where("label = 1").select("id"), positives).withColumn("label", F.lit(True))
+    sampled = sampled.unionByName(least_hashed(docs.where("id is not null").select("id"), unlabelled).withColumn("label", F.lit(False)))
+    texts = texts_of(docs, sampled, "toxicity-sample").select("text", F.col("label").alias("positive"))
     n_pos, n_unl = texts.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
     if not n_pos or not n_unl:
         return None
@@ -133,23 +173,24 @@ def train_model(docs: DataFrame, labels: DataFrame, train: Column, positives: in
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], ["positive", "x"])
 
     got = texts.mapInArrow(run, "positive boolean, x binary").toArrow()
-    kinds, rows = got["positive"].to_pylist(), got["x"].to_pylist()
-    rows = sorted(zip(kinds, rows, strict=True))
+    rows = sorted(zip(got["positive"].to_pylist(), got["x"].to_pylist(), strict=True))
     x = {k: tiers(np.array([np.frombuffer(r, np.uint8) for q, r in rows if q == k])).astype(np.float32) for k in (True, False)}
-    w, b = fit(x[True], x[False], prior)
-    return Model(place, w, b)
+    features, decay = settle({k: v[np.random.default_rng(42).permutation(len(v))] for k, v in x.items()}, prior, settings, inner_folds, threshold)
+    cols, weights = columns_of(features), np.zeros(len(TIERS) * FEATURES, np.float32)
+    weights[cols], b = fit(x[True][:, cols], x[False][:, cols], prior, decay=decay)
+    return Model(place, weights, b)
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_fold: int = 2, threshold: float = 0.3, **how) -> DataFrame:
     """``id_col, held_out, score, predicted`` of every document; labels of the held-out fold are not learned from."""
     prepare(df.sparkSession)
-    out = with_scores(df.select(id_col, text_col), labels, id_col, text_col, label_col, folds, held_fold, keep_text=False, **how)
+    out = with_scores(df.select(id_col, text_col), labels, id_col, text_col, label_col, folds, held_fold, threshold=threshold, **how)
     held = F.coalesce(fold_of(F.col("id"), folds) == held_fold, F.lit(False))
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def with_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_fold: int = 2, keep_text: bool = True, **how) -> DataFrame:
-    """All columns of ``df`` with ``score``; without ``keep_text``, ``id, score`` only."""
+def with_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_fold: int = 2, score_col: str | None = None, **how) -> DataFrame:
+    """``id, score`` of every row, or all columns of ``df`` with the score as ``score_col``."""
     spark = df.sparkSession
     prepare(spark)
     docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -159,17 +200,16 @@ def with_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def scores(texts) -> pa.Array:
         return pa.array([model.value.score(t.as_py()) if model.value else 0.0 for t in texts], pa.float64())
 
-    if keep_text:
-        names, at = df.columns, df.columns.index(text_col)
+    if score_col:
+        # Columns go by number on the way, as their names may hold dots.
+        at, safe = df.columns.index(text_col), [f"c{k}" for k in range(len(df.columns) + 1)]
 
         def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(at).fill_null("")
-                yield pa.RecordBatch.from_arrays([*batch.columns, scores(texts)], [*names, "__toxicity"])
-
-        from pyspark.sql import types as T
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores(batch.column(at).fill_null(""))], safe)
 
-        return df.mapInArrow(run_all, T.StructType([*df.schema.fields, T.StructField("__toxicity", T.DoubleType())]))
+        fields = [T.StructField(n, f.dataType) for n, f in zip(safe, df.schema.fields, strict=False)]
+        return df.toDF(*safe[:-1]).mapInArrow(run_all, T.StructType([*fields, T.StructField(safe[-1], T.DoubleType())])).toDF(*df.columns, score_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,4 +220,5 @@ def with_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 def drop_toxic(df: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
     """The rows whose score is below the threshold, with their own columns."""
-    return with_scores(df, labels, **how).where(F.col("__toxicity") < threshold).select(df.columns)
+    (score,) = fresh(df, "toxicity_score")
+    return with_scores(df, labels, threshold=threshold, score_col=score, **how).where(F.col(score) < threshold).select(columns(df.columns))

@@ -6,7 +6,7 @@ import random
 import pytest
 import xxhash
 
-from arborspark.llm import fingerprints, simhash_dedup
+from arborspark.llm import common, fingerprints, mixing, simhash_dedup
 
 
 def plain_print(text):
@@ -76,6 +76,54 @@ def test_hot_shards_are_dealt_again(near, monkeypatch):
     check(near)
 
 
+def test_dense_clusters_are_dealt_to_the_last_level(spark, monkeypatch):
+    """Many different fingerprints that agree on most bits: links equal those of all pairs."""
+    r = random.Random(12)
+    base = r.getrandbits(63)
+    points = list({base ^ r.getrandbits(11) for _ in range(400)} | {base ^ (r.getrandbits(20) << 40) for _ in range(60)})
+    monkeypatch.setattr(simhash_dedup, "TREE_ENTRIES", 40)
+    df = spark.createDataFrame([(p,) for p in points], "fp long")
+    root = {p: p for p in points}
+
+    def top(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for x in simhash_dedup.links(df).collect():
+        a, b = top(x["a"]), top(x["b"])
+        root[max(a, b)] = min(a, b)
+    assert {p: top(p) for p in points} == plain_components(points)
+
+
+def test_deduplicate_and_mix_with_clashing_columns(docs):
+    for f, names in ((simhash_dedup.deduplicate, ["row_key", "__key", "fp", "root"]), (mixing.mix, ["mix_source", "mix_source_size", "mix_target", "mix_copy", "size"])):
+        df = docs.selectExpr("*", *[f"'{n}' as `{n}`" for n in names], "1 as `a.b`")
+        got = f(df)
+        assert got.columns == df.columns
+        rows = got.collect()
+        assert rows and all(r[n] == n for r in rows for n in names)
+
+
+def test_work_tables_need_a_shared_folder_on_a_cluster(spark):
+    class Conf:
+        def get(self, key):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+    assert common.shared_dir(spark)
+
+
 def test_tree_finds_all_within_the_radius():
     r = random.Random(5)
     base = [r.getrandbits(64) for _ in range(60)]

@@ -43,3 +43,34 @@ def test_stages_one_by_one(spark):
 def test_all_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+def test_the_whole_pipeline_on_odd_rows(spark, tmp_path):
+    """Null, empty, blank and repeated rows, clashing column names; against the stages' own rules in plain Python."""
+    junk = "clown " * 30
+    rows = [(k, f"plain words number {k} " + " ".join(f"w{k}x{j}" for j in range(30)), "en", "ab"[k % 2], 0, "x", "y") for k in range(40)]
+    rows += [(100 + k, f"{junk} t{k}", "en", "a", 0, "x", "y") for k in range(30)]
+    rows += [(200, None, "en", "a", 7, "x", "y"), (201, "", None, None, 0, "x", "y"), (202, " \t\n", "en", "a", 3, "x", "y"), (None, "no id " + "here " * 20, "en", "c", 0, None, None)]
+    rows += [(300, rows[3][1], "en", "a", 0, "x", "y"), (300, rows[3][1], "en", "a", 0, "x", "y"), (301, 'token = "0123456789abcdef0123" ' + " ".join(f"s{j}" for j in range(30)), "en", "b", 0, "x", "y")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, blob string, mix_copy string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100 + k, 0, 1) for k in range(30)] + [(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    staged = docs
+    for name in ("toxicity", "simhash near-dedup", "secret scan"):
+        staged = table(dict(corpus_pipeline.STAGES)[name](spark, staged, str(tmp_path)), "t")
+    safe = {r["doc_id"]: r["text"] for r in staged.collect()}
+    assert set(safe) == set(range(40)) | {200, None, 301} and staged.count() == 43 and staged.columns == docs.columns
+    assert safe[200] is None and safe[301].startswith("[SECRET]") and all(safe[k] == rows[k][1] for k in range(40))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} <= set(safe)
+    counts = collections.Counter(r["doc_id"] for r in got)
+    assert max(counts.values()) <= 2
+    lib = bpe_stream.WordBPE(vocabulary("word_bpe_49k.json"))
+    assert all(r["n_tokens"] == len(lib.encode(safe[r["doc_id"]] or "")) for r in got)
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
