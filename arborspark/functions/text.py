@@ -51,6 +51,13 @@ def normal_words(text: Column) -> Column:
     return F.array_join(tokens(text), " ")
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility form. No built-in function has it: a vectorised one, given only what is not ASCII."""
+    form = F.pandas_udf(lambda values: values.str.normalize("NFKC"), "string", F.PandasUDFType.SCALAR)
+    other = F.when(~text.rlike("^[\\x00-\\x7F]*$"), text)
+    return F.coalesce(form(other), text)
+
+
 def normal_title(title: Column) -> Column:
     return collapsed(folded(title))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborspark.functions.text import stripped
+from arborspark.operators import tree
 
 
 def heading_tree(headings: DataFrame, doc: str, order: str, title: str) -> DataFrame:
@@ -187,10 +188,7 @@ def rendered(passages: DataFrame, query: str, title: str, order: list[str], head
 
 
 def eligible(nodes: DataFrame, kind: str = "sentence") -> DataFrame:
-    """The nodes that are of the kind or lead to one: a semi-join level by level, from the leaves up."""
-    live = nodes.where(F.col("kind") == kind).select("doc_id", "node_id", "parent_id")
-    out, up = live.select("doc_id", "node_id"), nodes.select("doc_id", "node_id", "parent_id")
-    for _ in range(4):
-        live = up.join(live.select("doc_id", F.col("parent_id").alias("node_id")), ["doc_id", "node_id"], "left_semi")
-        out = out.unionByName(live.select("doc_id", "node_id"))
-    return out.distinct()
+    """The nodes that are of the kind or lead to one: all that stand on the paths of these."""
+    live = nodes.where(F.col("kind") == kind).select("doc_id", "node_id")
+    trail = tree.paths(nodes).join(live, ["doc_id", "node_id"], "left_semi")
+    return trail.select("doc_id", F.explode(F.split("path", "/")).alias("node_id")).distinct()

@@ -84,3 +84,44 @@ def bootstrap(rows: DataFrame, group: list[str], cluster: str, value: str, draws
     ends = means.groupBy(*group).agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
     total = sums.groupBy(*group).agg(F.round(F.sum("s") / F.sum("n"), 6).alias("mean"))
     return total.join(ends, group)
+
+
+def accuracy(rows: DataFrame, group: list[str], answer: str, label: str) -> DataFrame:
+    """``group, accuracy, invalid, n``: share of answers that are the label; a null answer is invalid and wrong."""
+    right = F.coalesce((F.col(answer) == F.col(label)).cast("int"), F.lit(0))
+    return rows.groupBy(*group).agg(F.round(F.avg(right), 6).alias("accuracy"), F.count_if(F.col(answer).isNull()).alias("invalid"), F.count(F.lit(1)).alias("n"))
+
+
+def resampled(rows: DataFrame, group: list[str], cluster: str, values: list[str], draws: int = 10_000, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """``group, value, mean, low, high, n, clusters``: whole clusters drawn with replacement, as many as there are.
+
+    A draw is a multinomial resample, the same for all values, weighted by question. What a
+    group's task holds is one row of sums for each cluster; draws are made one by one.
+    """
+    sums = rows.groupBy(*group, cluster).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).cast("double").alias(v) for v in values])
+    kinds = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
+
+    def draw(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values(cluster)
+        n, own = pdf["n"].to_numpy(np.int64), pdf[values].to_numpy(np.float64)
+        r, found = np.random.default_rng(seed), np.empty((draws, len(values)))
+        even = np.full(len(n), 1 / len(n))
+        for k in range(draws):
+            w = r.multinomial(len(n), even)
+            found[k] = (w @ own) / (w @ n)
+        ends = np.quantile(found, [(1 - level) / 2, (1 + level) / 2], axis=0)
+        head = pdf[group].iloc[0].tolist()
+        out = [(*head, v, own[:, i].sum() / n.sum(), ends[0, i], ends[1, i], n.sum(), len(n)) for i, v in enumerate(values)]
+        return pdf.__class__(out, columns=[*group, "value", "mean", "low", "high", "n", "clusters"])
+
+    return sums.groupBy(*group).applyInPandas(draw, f"{kinds}, value string, mean double, low double, high double, n bigint, clusters bigint")
+
+
+def paired(rows: DataFrame, group: list[str], cluster: str, item: str, method: str, score: str, ours: str, draws: int = 10_000, seed: int = 7) -> DataFrame:
+    """The interval of the mean difference between ``ours`` and each other method, over the items that both have, by cluster."""
+    mine = rows.where((F.col(method) == ours) & F.col(score).isNotNull()).select(*group, cluster, item, F.col(score).alias("mine"))
+    theirs = rows.where((F.col(method) != ours) & F.col(score).isNotNull()).select(*group, item, F.col(method).alias("other"), F.col(score).alias("theirs"))
+    both = mine.join(theirs, [*group, item]).withColumn("difference", F.col("mine") - F.col("theirs"))
+    return resampled(both, [*group, "other"], cluster, ["difference"], draws, seed).drop("value")

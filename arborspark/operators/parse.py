@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborspark.functions.arrays import let, running
 from arborspark.functions.text import blank_before, sentence_pieces, slug, stripped
+from arborspark.operators import markdown
+
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def line_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,15 +25,13 @@ def line_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def sentences(units: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, sentence, start, end, text`` of units with ``start, text``; in one pass, by unit."""
-    start = F.struct(F.col("start").cast("bigint").alias("at"), F.expr("cast(array() as array<struct<at:bigint,piece:string>>)").alias("out"))
-
-    def step(acc, piece):
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("at"), piece.alias("piece"))).alias("out"))
+    def placed(pieces):
+        ends = running(F.transform(pieces, lambda x: F.length(x)), lambda a, b: a + b, 0)
+        return let(ends, lambda e: F.transform(pieces, lambda x, i: F.struct((e[i] - F.length(x)).alias("at"), x.alias("piece"))))
 
-    placed = F.aggregate(sentence_pieces(F.col("text")), start, step, lambda acc: acc["out"])
-    full = F.filter(placed, lambda x: stripped(x["piece"]) != "")
-    rows = units.select(*keys, F.posexplode(full).alias("sentence", "x"))
-    begin = F.col("x.at") + blank_before(F.col("x.piece"))
+    full = F.filter(let(sentence_pieces(F.col("text")), placed), lambda x: stripped(x["piece"]) != "")
+    rows = units.select(*keys, "start", F.posexplode(full).alias("sentence", "x"))
+    begin = (F.col("start") + F.col("x.at") + blank_before(F.col("x.piece"))).cast("bigint")
     body = stripped(F.col("x.piece"))
     return rows.select(*keys, F.col("sentence").cast("bigint").alias("sentence"), begin.alias("start"), (begin + F.length(body)).alias("end"), body.alias("text"))
 
@@ -45,91 +45,77 @@ def joined_documents(parts: DataFrame, doc: str, order: str, text: str) -> DataF
     return rows.select(F.col(doc).alias("doc_id"), (F.row_number().over(by) - 1).cast("bigint").alias("paragraph"), "start", (F.col("start") + F.length(text)).alias("end"), F.col(text).alias("text"))
 
 
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?)|[ \t]*)$")
-_RULE = re.compile(r" {0,3}(=+|-+)\s*$")
-
-
 class BlockReader:
-    """Line machine of Markdown-like text: fed line by line, it hands out blocks with offsets."""
+    """The block grammar of :mod:`arborspark.operators.markdown` on one text, in plain Python, for callers without a table.
+
+    ``read`` gives ``(kind, start, end, title, level, verbatim)`` in source order.
+    """
 
     def __init__(self) -> None:
-        self.out: list[tuple[str, int, int, str, int, bool]] = []
-        self.open: tuple[int, str] | None = None  # start and text of the paragraph being read
-        self.fence: tuple[int, str, int, str] | None = None  # start, mark, length, text so far
-
-    def close(self) -> None:
-        if self.open:
-            start, text = self.open
-            left = len(text) - len(text.lstrip())
-            if body := text.strip():
-                self.out.append(("paragraph", start + left, start + left + len(body), "", 0, False))
-            self.open = None
-
-    def end_fence(self) -> None:
-        if self.fence:
-            start, _, _, text = self.fence
-            self.out.append(("paragraph", start, start + len(text.rstrip("\r\n")), "", 0, True))
-            self.fence = None
+        self.fence, self.shut, self.atx, self.rule = (re.compile(p.replace("\\x0B", "\x0b")) for p in (markdown.FENCE, markdown.SHUT, markdown.ATX, markdown.UNDERLINE))
+
+    def fences(self, lines: list[str]) -> dict[int, int]:
+        """Number of each line in a fence, to that of the fence's first line."""
+        inside, first, mark = {}, None, ""
+        for k, line in enumerate(lines):
+            found = self.fence.match(line)
+            if first is None and found:
+                first, mark = k, found[1]
+                inside[k] = k
+            elif first is not None:
+                inside[k] = first
+                if found and self.shut.match(line) and found[1][0] == mark[0] and len(found[1]) >= len(mark):
+                    first = None
+        return inside
 
     def read(self, source: str) -> list[tuple[str, int, int, str, int, bool]]:
-        at, lines = 0, source.splitlines(keepends=True)
-        skip = False
-        for k, raw in enumerate(lines):
-            start, at, line = at, at + len(raw), raw.rstrip("\r\n")
-            if skip:
-                skip = False
-            elif self.fence:
-                self.fence = (*self.fence[:3], self.fence[3] + raw)
-                if re.match(rf" {{0,3}}{re.escape(self.fence[1])}{{{self.fence[2]},}}\s*$", line):
-                    self.end_fence()
-            elif m := _FENCE.match(line):
-                self.close()
-                self.fence = (start, m[1][0], len(m[1]), raw)
-            elif m := _ATX.match(line):
-                self.close()
-                self.out.append(("heading", start, at, re.sub(r"\s+#+\s*$", "", m[2] or "").strip(), len(m[1]), False))
-            elif not line.strip():
-                self.close()
-            elif not self.open and k + 1 < len(lines) and (m := _RULE.match(lines[k + 1].rstrip("\r\n"))):
-                self.out.append(("heading", start, at + len(lines[k + 1]), line.strip(), 1 if m[1][0] == "=" else 2, False))
-                skip = True
-            else:
-                self.open = (self.open[0], self.open[1] + raw) if self.open else (start, raw)
-        self.end_fence()
-        self.close()
-        return self.out
+        raw = source.split("\n")
+        at = [0]
+        for line in raw:
+            at.append(at[-1] + len(line) + 1)
+        at = [min(x, len(source)) for x in at]
+        lines = [x.rstrip("\r") for x in raw]
+        inside, out, k = self.fences(lines), [], 0
+        plain = lambda j: j < len(lines) and j not in inside and bool(lines[j].strip(BLANK)) and not self.atx.match(lines[j])
+        for first in sorted(set(inside.values())):
+            last = max(j for j, f in inside.items() if f == first and lines[j])
+            out.append(("paragraph", at[first], at[last] + len(lines[last]), "", 0, True))
+        while k < len(lines):
+            if not plain(k):
+                if k not in inside and lines[k].strip(BLANK):
+                    marks = re.match(" *(#+)", lines[k])
+                    rest = lines[k][marks.end() :].strip(BLANK)
+                    out.append(("heading", at[k], at[k + 1], re.sub(f"[{BLANK}]+#+$", "", rest), len(marks[1]), False))
+                k += 1
+                continue
+            # An island: titles and their underlines as long as these come in pairs, then one paragraph.
+            while plain(k) and plain(k + 1) and self.rule.match(lines[k + 1]):
+                out.append(("heading", at[k], at[k + 2], lines[k].strip(BLANK), 1 if lines[k + 1].strip().startswith("=") else 2, False))
+                k += 2
+            first = k
+            while plain(k):
+                k += 1
+            if k > first:
+                start, end = at[first] + len(lines[first]) - len(lines[first].lstrip(BLANK)), at[k - 1] + len(lines[k - 1].rstrip(BLANK))
+                out.append(("paragraph", start, end, "", 0, False))
+        return sorted(out, key=lambda b: b[1])
 
 
 def markdown_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, block, kind, start, end, title, level, verbatim``: headings, paragraphs and fenced code."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "kind", "start", "end", "title", "level", "verbatim"]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
-        for batch in batches:
-            at, rows = [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                for j, b in enumerate(BlockReader().read(text or "")):
-                    at.append(k)
-                    rows.append((j, *b))
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["doc_id", *names])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, block bigint, kind string, start bigint, end bigint, title string, level bigint, verbatim boolean")
+    return markdown.blocks(docs, id_col, text_col)
 
 
 def contents_entries(blocks: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Entries of blocks all of whose lines are links or dotted titles with a page: ``keys, entry, title, anchor, page``."""
-    link, printed = r"^(?:[-*+][ \t]+|[0-9]+[.)][ \t]+)?\[([^\]]+)\]\(#([^ \t)]+)\)$", r"^(.+?)[ \t]*\.{2,}[ \t]*([0-9]+|[ivxlcdmIVXLCDM]+)$"
+    bare = lambda x: F.regexp_replace(x, markdown.LIST_MARK, "")
     lines = F.filter(F.transform(F.split(text_col, "\n"), stripped), lambda x: x != "")
-    rows = blocks.withColumn("__lines", lines).where((F.size("__lines") > 0) & F.forall("__lines", lambda x: x.rlike(link) | x.rlike(printed)))
-    rows = rows.select(*keys, F.posexplode("__lines").alias("entry", "line"))
-    is_link = F.col("line").rlike(link)
-    pick = lambda pattern, k: F.regexp_extract("line", pattern, k)
-    title = stripped(F.when(is_link, pick(link, 1)).otherwise(pick(printed, 1)))
-    return rows.select(*keys, F.col("entry").cast("bigint").alias("entry"), title.alias("title"), F.when(is_link, pick(link, 2)).alias("anchor"), F.when(~is_link, pick(printed, 2)).alias("page"))
+    rows = blocks.select(*keys, lines.alias("entry_lines")).where((F.size("entry_lines") > 0) & F.forall("entry_lines", lambda x: bare(x).rlike(markdown.LINK) | x.rlike(markdown.PRINTED)))
+    rows = rows.select(*keys, F.posexplode("entry_lines").alias("entry", "line"))
+    is_link = bare(F.col("line")).rlike(markdown.LINK)
+    of_link, of_page = (lambda k: F.regexp_extract(bare(F.col("line")), markdown.LINK, k)), (lambda k: F.regexp_extract("line", markdown.PRINTED, k))
+    title = stripped(F.when(is_link, of_link(1)).otherwise(of_page(1)))
+    return rows.select(*keys, F.col("entry").cast("bigint").alias("entry"), title.alias("title"), F.when(is_link, of_link(2)).alias("anchor"), F.when(~is_link, of_page(2)).alias("page"))
 
 
 def resolve_contents(entries: DataFrame, headings: DataFrame, keys: list[str]) -> DataFrame:

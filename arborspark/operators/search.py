@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborspark.operators import walk
+
 
 def beam(nodes: DataFrame, depth: int, width: int, least: float | None = None) -> DataFrame:
     """``doc_id, depth, node_id, score, rank``: level by level, the best ``width`` children of what was kept above.
@@ -38,39 +38,12 @@ def open_hits(nodes: DataFrame, paths: DataFrame, hits: int, best: int) -> DataF
 
 
 def resumed(nodes: DataFrame, width: int, accept: float, budget: int) -> DataFrame:
-    """``doc_id, node_id, score, step``: paragraphs in the order they are reached.
+    """``doc_id, node_id, score, step``: paragraphs in the order they are reached; every one that is scored stays.
 
-    A level beam runs first; accepted nodes that the beam left out wait in a queue, and the
-    best of them is opened as long as its children fit the budget of scored nodes. The walk
-    depends on what it has spent, so each document is walked by itself.
+    A layer beam runs first; accepted nodes that it left closed, or that a layer too dear for
+    the budget left unopened, are taken up again, the best first whose children fit.
     """
-    kind = nodes.schema["doc_id"].dataType.simpleString()
-
-    def walk(pdf):
-        import pandas as pd
-
-        below: dict[str, list[tuple]] = {}
-        for r in pdf.sort_values(["start", "node_id"]).itertuples(index=False):
-            if r.kind in ("section", "paragraph"):
-                below.setdefault(r.parent_id, []).append((-r.score, r.start, r.node_id, r.kind))
-        found, waiting, spent, level = [], [], 0, ["root"]
-        while level or waiting:
-            if not level:
-                level = [heapq.heappop(waiting)[2]]
-            rows = [c for p in level for c in below.get(p, [])]
-            if spent + len(rows) > budget:
-                level = []
-                if not waiting:
-                    break
-                continue
-            spent += len(rows)
-            rows = sorted(r for r in rows if -r[0] >= accept)
-            found += [r for r in rows if r[3] == "paragraph"]
-            inner = [r for r in rows if r[3] != "paragraph"]
-            level = [r[2] for r in inner[:width]]
-            for r in inner[width:]:
-                heapq.heappush(waiting, r)
-        doc = pdf["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": [doc] * len(found), "node_id": [r[2] for r in found], "score": [-r[0] for r in found], "step": range(len(found))})
-
-    return nodes.groupBy("doc_id").applyInPandas(walk, f"doc_id {kind}, node_id string, score double, step bigint")
+    steps = walk.trace(nodes, ["score"], walk.Limits(beam=width, acceptance=accept, decisions=budget, extra=1e9))
+    told = steps.select("doc_id", "step", "terminals", F.posexplode(F.arrays_zip("candidates", "scores")).alias("k", "c")).where(F.array_contains("terminals", F.col("c.candidates")))
+    order = Window.partitionBy("doc_id").orderBy("step", F.desc("c.scores"), "k")
+    return told.select("doc_id", F.col("c.candidates").alias("node_id"), F.col("c.scores").alias("score"), (F.row_number().over(order) - 1).cast("bigint").alias("step"))

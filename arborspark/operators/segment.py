@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborspark.functions.arrays import let, scan
 from arborspark.functions.probability import posterior_same
 from arborspark.functions.text import jaccard, token_set
 from arborspark.functions.vectors import dot
 
-_STEP = "paragraph:bigint,anchor:bigint,score:double,posterior:double,previous:double,cut:boolean"
-
-
-def bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+#: Groups whose sums (a vector each) are broadcast, at most.
+BROADCAST_GROUPS = 4096
+_STEP = "struct<paragraph:bigint,anchor:bigint,score:double,posterior:double,previous:double,cut:boolean>"
 
 
 def anchor_drop(units: DataFrame, prior: float = 0.7, cutoff: float = 0.5, drop: float = 0.2) -> DataFrame:
@@ -27,26 +25,21 @@ def anchor_drop(units: DataFrame, prior: float = 0.7, cutoff: float = 0.5, drop:
     items = units.select("doc_id", F.struct("paragraph", token_set(F.col("text")).alias("set")).alias("u"))
     runs = items.groupBy("doc_id").agg(F.array_sort(F.collect_list("u")).alias("us"))
     first = F.col("us")[0]
-    start = F.struct(first["set"].alias("set"), first["paragraph"].alias("anchor"), F.lit(float(prior)).alias("previous"), F.expr(f"cast(array() as array<struct<{_STEP}>>)").alias("out"))
-
-    def step(acc: Column, u: Column) -> Column:
-        def scored(score: Column) -> Column:
-            return bound(posterior_same(score, prior), lambda p: decided(score, p))
+    start = F.struct(first["set"].alias("set"), first["paragraph"].alias("anchor"), F.lit(float(prior)).alias("previous"))
 
-        def decided(score: Column, p: Column) -> Column:
-            cut = (p <= cutoff) & (acc["previous"] - p >= drop)
-            row = F.struct(u["paragraph"].alias("paragraph"), acc["anchor"].alias("anchor"), score.alias("score"), p.alias("posterior"), acc["previous"].alias("previous"), cut.alias("cut"))
-            return F.struct(
-                F.when(cut, u["set"]).otherwise(acc["set"]).alias("set"),
-                F.when(cut, u["paragraph"]).otherwise(acc["anchor"]).alias("anchor"),
-                F.when(cut, F.lit(float(prior))).otherwise(p).alias("previous"),
-                F.array_append(acc["out"], row).alias("out"),
-            )
+    def step(at: Column, u: Column) -> tuple[Column, Column]:
+        cut = (u["posterior"] <= cutoff) & (at["previous"] - u["posterior"] >= drop)
+        row = F.struct(u["paragraph"].alias("paragraph"), at["anchor"].alias("anchor"), u["score"].alias("score"), u["posterior"].alias("posterior"), at["previous"].alias("previous"), cut.alias("cut"))
+        following = F.struct(F.when(cut, u["set"]).otherwise(at["set"]).alias("set"), F.when(cut, u["paragraph"]).otherwise(at["anchor"]).alias("anchor"), F.when(cut, F.lit(float(prior))).otherwise(u["posterior"]).alias("previous"))
+        return following, row
 
-        return bound(jaccard(acc["set"], u["set"]), scored)
+    def judged(at: Column, u: Column) -> Column:
+        """The unit with its score and posterior against the anchor, each worked out once."""
+        shown = lambda score, p: F.struct(u["paragraph"].alias("paragraph"), u["set"].alias("set"), score.alias("score"), p.alias("posterior"))
+        return let(jaccard(at["set"], u["set"]), lambda score: let(posterior_same(score, prior), lambda p: shown(score, p)))
 
-    trace = F.aggregate(F.slice("us", 2, F.greatest(F.size("us") - 1, F.lit(1))), start, step, lambda acc: acc["out"])
-    return runs.select("doc_id", F.explode(trace).alias("d")).select("doc_id", "d.*")
+    rest = F.slice("us", 2, F.greatest(F.size("us") - 1, F.lit(1)))
+    return runs.select("doc_id", F.explode(scan(rest, start, step, _STEP, judged)).alias("d")).select("doc_id", "d.*")
 
 
 def groups(units: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -60,17 +53,19 @@ def quantile_split(vectors: DataFrame, section: str, order: str, vector: str, qu
     """``section, order, distance, threshold, cut``: cuts where the distance to the row before lies above the section's quantile."""
     by = Window.partitionBy(section).orderBy(order)
     rows = vectors.select(section, order, (1 - dot(F.col(vector).cast("array<double>"), F.lag(F.col(vector).cast("array<double>")).over(by))).alias("distance"))
-    threshold = F.coalesce(F.percentile("distance", F.lit(quantile)).over(Window.partitionBy(section)), F.lit(2.0))
-    return rows.withColumn("threshold", threshold).withColumn("cut", F.coalesce(F.col("distance") > F.col("threshold"), F.lit(False)))
+    ends = rows.where("distance is not null").groupBy(section).agg(F.percentile("distance", F.lit(quantile)).alias("threshold"))
+    rows = rows.join(ends, section, "left").withColumn("threshold", F.coalesce("threshold", F.lit(2.0)))
+    return rows.select(section, order, "distance", "threshold", F.coalesce(F.col("distance") > F.col("threshold"), F.lit(False)).alias("cut"))
 
 
 def centroid_scores(vectors: DataFrame, group: str, item: str, vector: str) -> DataFrame:
     """``group, item, score``: mean similarity to the group's others, from the group's sum: n rows for n items, not n squared."""
     v = F.col(vector).cast("array<double>")
-    dims = vectors.select(group, F.posexplode(v).alias("dim", "x")).groupBy(group, "dim").agg(F.sum("x").alias("total"))
-    total = dims.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("dim", "total"))).alias("t")).select(group, F.col("t.total").alias("total"))
-    sizes = vectors.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    rows = vectors.select(group, item, v.alias("v")).join(total, group).join(sizes, group)
+    dims = vectors.select(group, F.posexplode(v).alias("dim", "x")).groupBy(group, "dim").agg(F.sum("x").alias("total"), F.count(F.lit(1)).alias("n"))
+    total = dims.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("dim", "total"))).alias("t"), F.max("n").alias("n")).select(group, F.col("t.total").alias("total"), "n")
+    # A group's sum is one row: few groups are broadcast, so that a large group is not brought together.
+    total = F.broadcast(total) if vectors.select(group).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else total
+    rows = vectors.select(group, item, v.alias("v")).join(total, group)
     mean = (dot(F.col("v"), F.col("total")) - dot(F.col("v"), F.col("v"))) / (F.col("n") - 1)
     return rows.select(group, item, F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.least(F.greatest((mean + 1) / 2, F.lit(0.0)), F.lit(1.0))).alias("score"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborspark.functions.text import CONTINUATION, INTRODUCTION, stripped
+from arborspark.sources.work import importable
 
 
 def pairwise_wins(cards: DataFrame, query: str, item: str, place: str, preference, threshold: float = 0.5, limit: int = 30) -> DataFrame:
@@ -97,4 +98,4 @@ def select_evidence(cards: DataFrame, query: str, item: str, needs: list[str], r
         out["place"] = range(len(got))
         return out
 
-    return cards.groupBy(query).applyInPandas(run, schema)
+    return importable(cards).groupBy(query).applyInPandas(run, schema)

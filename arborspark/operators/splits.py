@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborspark.sources.work import written
+
 
 def duplicate_groups(items: DataFrame, item: str, keys: list[str], rounds: int = 50) -> DataFrame:
     """``item, grp``: items that share a value of any key, transitively; named by the least item.
@@ -14,23 +16,17 @@ def duplicate_groups(items: DataFrame, item: str, keys: list[str], rounds: int =
     """
     stars = None
     for key in keys:
-        part = items.where(F.col(key).isNotNull()).select(F.col(item).alias("a"), F.min(item).over(Window.partitionBy(key)).alias("b")).where("a <> b")
+        # A group's least item comes from an aggregate, so that no task holds a group of copies.
+        named = items.where(F.col(key).isNotNull()).select(F.col(item).alias("a"), key)
+        least = named.groupBy(key).agg(F.min("a").alias("b"))
+        part = named.join(least, key).where("a <> b").select("a", "b")
         stars = part if stars is None else stars.unionByName(part)
-    spark = items.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import atexit
-        import shutil
-        import tempfile
-
-        own = tempfile.mkdtemp(prefix="arborspark-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(own)
-    stars = stars.distinct().checkpoint()
+    stars = written(stars.distinct())
     labels = items.select(F.col(item).alias("a"), F.col(item).alias("grp")).distinct()
     for _ in range(rounds):
         up = stars.join(labels, "a").select(F.col("b").alias("a"), "grp")
         down = stars.join(labels.withColumnRenamed("a", "b"), "b").select("a", "grp")
-        new = labels.unionByName(up).unionByName(down).groupBy("a").agg(F.min("grp").alias("grp")).checkpoint()
+        new = written(labels.unionByName(up).unionByName(down).groupBy("a").agg(F.min("grp").alias("grp")))
         if new.join(labels.withColumnRenamed("grp", "old"), "a").where("grp <> old").isEmpty():
             return new.select(F.col("a").alias(item), "grp")
         labels = new
@@ -51,8 +47,8 @@ def registry(items: DataFrame, groups: DataFrame, item: str, exposure: list[str]
     """Adds ``partition``: every member of a group goes to the most exposed partition of any member (first in ``exposure``)."""
     rank = F.array_position(F.array(*map(F.lit, exposure)), F.col("partition"))
     rows = items.join(groups, item).withColumn("r", rank)
-    least = F.min("r").over(Window.partitionBy("grp"))
-    return rows.select(item, "grp", F.element_at(F.array(*map(F.lit, exposure)), least.cast("int")).alias("partition"), (least != F.col("r")).alias("moved"))
+    least = rows.groupBy("grp").agg(F.min("r").alias("least"))
+    return rows.join(least, "grp").select(item, "grp", F.element_at(F.array(*map(F.lit, exposure)), F.col("least").cast("int")).alias("partition"), (F.col("least") != F.col("r")).alias("moved"))
 
 
 def coverage(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,12 +26,19 @@ def build(units: DataFrame, topics: DataFrame, sentences: DataFrame) -> DataFram
 
 
 def paths(nodes: DataFrame, depth: int = 4) -> DataFrame:
-    """``doc_id, node_id, path``: ids from the root down, joined by ``/``; trees have at most ``depth`` levels below it."""
-    rows = nodes.select("doc_id", "node_id", F.col("node_id").alias("path"), F.col("parent_id").alias("up"))
+    """``doc_id, node_id, path``: ids from the root down, joined by ``/``.
+
+    A tree of a deeper document is followed until no node has a parent left, which a look at
+    each further level tells; ``depth`` levels are taken without looking.
+    """
     above = nodes.select("doc_id", F.col("node_id").alias("up"), F.col("parent_id").alias("next"))
-    for _ in range(depth):
-        rows = rows.join(above, ["doc_id", "up"], "left").select("doc_id", "node_id", F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat_ws("/", "up", "path")).alias("path"), F.col("next").alias("up"))
-    return rows.select("doc_id", "node_id", "path")
+    step = lambda rows: rows.join(above, ["doc_id", "up"], "left").select("doc_id", "node_id", F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat_ws("/", "up", "path")).alias("path"), F.col("next").alias("up"))
+    rows = nodes.select("doc_id", "node_id", F.col("node_id").alias("path"), F.col("parent_id").alias("up"))
+    for level in range(256):
+        if level >= depth and rows.where("up is not null").isEmpty():
+            return rows.select("doc_id", "node_id", "path")
+        rows = step(rows)
+    raise ValueError("a node is its own ancestor, or deeper than 256 levels")
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -39,6 +46,22 @@ def children(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_children"), F.min_by("node_id", F.struct("start", "node_id")).alias("first_child"))
 
 
+def citations(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, node_id, first_line, last_line, sha`` of what each node reads; ``docs`` has ``doc_id, text``.
+
+    A document's text meets the list of its nodes once, and only lines and digests leave.
+    """
+    spans = nodes.groupBy("doc_id").agg(F.collect_list(F.struct("node_id", "start", "end")).alias("xs"))
+    breaks = lambda c: (F.length(c) - F.length(F.translate(c, "\n", ""))).cast("bigint")
+    text = F.col("text")
+
+    def cited(x):
+        before, body = F.substring(text, F.lit(1), x["start"]), F.substring(text, x["start"] + 1, x["end"] - x["start"])
+        return F.struct(x["node_id"].alias("node_id"), (breaks(before) + 1).alias("first_line"), (breaks(before) + breaks(body) + 1).alias("last_line"), F.sha2(body, 256).alias("sha"))
+
+    return docs.join(spans, "doc_id").select("doc_id", F.explode(F.transform("xs", cited)).alias("r")).select("doc_id", "r.*")
+
+
 def subtree_sizes(nodes: DataFrame) -> DataFrame:
     """``doc_id, node_id, n_below``: nodes under each one, from the paths."""
     ids = paths(nodes).select("doc_id", F.col("node_id").alias("leaf"), F.explode(F.split("path", "/")).alias("node_id"))

@@ -9,7 +9,8 @@ from arborspark.operators import context, dense, fusion, tree
 from arborspark.plans.corpus import TURNS, _nodes, jaccard_sql, set_sql, turn_units
 from arborspark.plans.evaluation import GOLD, _refs
 from arborspark.plans.registry import SQL, load, query
-from arborspark.plans.retrieval import CARDS, DENSE, NEIGHBOURS, _cards, _links, _whole, beam_search
+from arborspark.plans.retrieval import CARDS, DENSE, NEIGHBOURS, _beam, _cards, _links, _whole
+from arborspark.sources.work import written
 
 #: Headings of the conversations: runs of six turns, runs of three within them, single turns.
 HEADINGS = f"""{TURNS}, headings AS (SELECT doc_id, paragraph, 'S' || paragraph // 6 || CASE WHEN paragraph % 3 > 0 THEN ' ::: T' || paragraph // 3 ELSE '' END
@@ -47,14 +48,17 @@ UNION ALL SELECT doc_id, start, "end", [3, turn, place] FROM near
 UNION ALL SELECT p.doc_id, n.start, n."end", [4, p.place, 0] FROM par p JOIN nodes n ON n.doc_id = p.doc_id AND n.node_id = p.over AND n.kind = 'document'), {RANKED}"""
 
 
-def _leaves(spark, sf):
-    return beam_search(spark, sf).where("depth = 3").select("doc_id", "node_id", "rank")
+def _reached(spark, sf):
+    """The nodes and the leaves that the beam reached, both written down."""
+    nodes = written(_nodes(spark, sf))
+    return nodes, written(_beam(spark, sf, nodes).where("depth = 3").select("doc_id", "node_id", "rank"))
 
 
 @query(BOTTOM_UP)
 def bottom_up_context(spark, sf):
     """From the reached paragraphs outward; the tree's document node stands for a heading."""
-    return context.bottom_up(_leaves(spark, sf), _nodes(spark, sf), heading="document")
+    nodes, leaves = _reached(spark, sf)
+    return context.bottom_up(leaves, nodes, heading="document")
 
 
 @query(f"""WITH {REACHED}, up AS ({SQL['node_paths']}), trail AS (SELECT doc_id, node_id, list_reverse(string_split(path, '/')) AS tops FROM up),
@@ -63,7 +67,7 @@ below AS (SELECT doc_id, start, "end", unnest(tops) AS top FROM nodes JOIN trail
 turns_of AS (SELECT doc_id, b.start, b."end", tier, place, row_number() OVER (PARTITION BY doc_id, place, tier ORDER BY greatest(0, b.start - ce, cs - b."end"), b.start, b."end") AS turn FROM mine JOIN below b USING (doc_id, top) WHERE tier > 0),
 every_span AS (SELECT doc_id, start, "end", [tier, turn, place] AS place_at FROM turns_of UNION ALL SELECT doc_id, start, "end", [0, rank, 0] FROM leaves JOIN nodes USING (doc_id, node_id)), {RANKED}""")
 def ancestor_context(spark, sf):
-    nodes, leaves = _nodes(spark, sf), _leaves(spark, sf)
+    nodes, leaves = _reached(spark, sf)
     first = leaves.join(nodes.select("doc_id", "node_id", "start", "end"), ["doc_id", "node_id"])
     return context.ancestors(context.cores(leaves, nodes), nodes, tree.paths(nodes), first)
 
@@ -123,8 +127,8 @@ EVEN = "node_id rlike '^p[0-9]*[02468]$'"
 
 
 def _barriers(spark, sf, targets=EVEN):
-    nodes = _nodes(spark, sf)
-    return context.first_barriers(nodes.where(targets), tree.paths(nodes), beam_search(spark, sf))
+    nodes = written(_nodes(spark, sf))
+    return context.first_barriers(nodes.where(targets), tree.paths(nodes), _beam(spark, sf, nodes))
 
 
 @query(f"WITH {BARRIERS} SELECT * FROM barriers")
@@ -138,13 +142,21 @@ def evidence_by_depth(spark, sf):
     return context.retained_by_depth(_barriers(spark, sf))
 
 
-@query()
+#: The same for every paragraph.
+BARRIERS_ALL = f"""up AS MATERIALIZED ({SQL['node_paths']}), beam AS MATERIALIZED (SELECT DISTINCT doc_id, node_id FROM ({SQL['beam_search']})),
+way AS (SELECT doc_id, node_id, unnest(string_split(path, '/')) AS step, unnest(range(len(string_split(path, '/')))) AS depth FROM up WHERE regexp_matches(node_id, '^p[0-9]+$')),
+lost AS (SELECT w.*, b.node_id IS NULL AS lost FROM way w LEFT JOIN beam b ON b.doc_id = w.doc_id AND b.node_id = w.step WHERE depth > 0),
+barriers AS (SELECT doc_id, node_id, count(*) AS n_levels, coalesce(min(depth) FILTER (lost), max(depth) + 1) - 1 AS n_reached, arg_min(step, depth) FILTER (lost) AS barrier FROM lost GROUP BY ALL)"""
+
+
+@query(f"WITH {BARRIERS_ALL} SELECT * FROM barriers")
 def search_barriers_all(spark, sf):
     """Of every paragraph; the twin of ``search_barriers`` has the even ones only."""
     return _barriers(spark, sf, "kind = 'paragraph'")
 
 
-@query()
+@query(f"""WITH {BARRIERS_ALL}, each_depth AS (SELECT doc_id, n_reached, unnest(range(1, n_levels + 1)) AS depth FROM barriers)
+SELECT doc_id, depth, count(*) AS n_targets, count(*) FILTER (n_reached >= depth) AS n_retained FROM each_depth GROUP BY ALL""")
 def evidence_by_depth_all(spark, sf):
     """Over every paragraph; the twin of ``evidence_by_depth`` has the even ones only."""
     return context.retained_by_depth(search_barriers_all(spark, sf))

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborspark.functions import text as T
-from arborspark.operators import dense, fusion, lexical, pack, segment, select, tree
+from arborspark.operators import dense, fusion, lexical, markdown, pack, segment, select, tree
 from arborspark.plans.corpus import BLANKS, BM25, NODES, TURNS, UNITS, _bm25, _nodes, doc_units, jaccard_sql, set_sql, tokens_sql, turn_units
 from arborspark.plans.registry import load, query
+from arborspark.sources.work import written
 
 DOT = "list_dot_product(a.v, b.v)"
 VEC = "vec AS (SELECT vec_id, label, embedding::DOUBLE[64] AS v FROM embeddings)".replace("[64]", "[]")
@@ -226,19 +227,22 @@ l2 AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.score DES
 l3 AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.score DESC, s.start, s.node_id) AS rank FROM scored s JOIN l2 ON l2.doc_id = s.doc_id AND l2.node_id = s.parent_id AND l2.rank <= 2)
 SELECT doc_id, depth, node_id, score, rank FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) WHERE rank <= 2""")
 def beam_search(spark, sf):
+    return _beam(spark, sf)
+
+
+def _beam(spark, sf, nodes=None):
     from arborspark.operators import search
 
-    return search.beam(_scored_nodes(spark, sf), depth=3, width=2)
+    return search.beam(_scored_nodes(spark, sf, nodes), depth=3, width=2)
 
 
-def _scored_nodes(spark, sf):
-    whole = turn_units(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph", "text"))).alias("us"))
-    whole = whole.select("doc_id", F.array_join(F.transform("us", lambda u: u["text"]), "\n\n").alias("whole"))
+def _scored_nodes(spark, sf, nodes=None):
+    """Node scores, written down: a document's text meets the list of its nodes once, and only the scores leave."""
     c = load(spark, sf, "conversations")
-    asks = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.max_by("text", "turn").alias("ask"))
-    rows = _nodes(spark, sf).join(whole, "doc_id").join(asks, "doc_id")
-    body = F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start"))
-    return rows.select("doc_id", "node_id", "parent_id", "kind", "start", "depth", F.round(T.jaccard(T.token_set(body), T.token_set(F.col("ask"))), 6).alias("score"))
+    asks = c.groupBy(F.col("conv_id").alias("doc_id")).agg(T.token_set(F.max_by("text", "turn")).alias("ask"))
+    whole = _whole(spark, sf).withColumnRenamed("w", "text")
+    rows = markdown.with_text(_nodes(spark, sf) if nodes is None else nodes, whole).join(asks, "doc_id")
+    return written(rows.select("doc_id", "node_id", "parent_id", "kind", "start", "depth", F.round(T.jaccard(T.token_set(F.col("text")), F.col("ask")), 6).alias("score")))
 
 
 @query(f"""WITH RECURSIVE {NODES}, body AS (SELECT n.doc_id, n.node_id, n.parent_id, n.kind, n.start, n."end", n.depth, {set_sql('substr(d.text, n.start + 1, n."end" - n.start)')} AS s
@@ -254,7 +258,7 @@ def global_hits(spark, sf):
     from arborspark.operators import search
 
     nodes = _scored_nodes(spark, sf)
-    return search.open_hits(nodes, tree.paths(_nodes(spark, sf)), hits=5, best=3)
+    return search.open_hits(nodes, tree.paths(nodes), hits=5, best=3)
 
 
 @query()
@@ -288,16 +292,13 @@ def _whole(spark, sf):
 SELECT doc_id, node_id, length(before) - length(replace(before, chr(10), '')) + 1 AS first_line,
 length(before) - length(replace(before, chr(10), '')) + length(body) - length(replace(body, chr(10), '')) + 1 AS last_line, sha256(body) AS sha FROM cites""")
 def read_citation(spark, sf):
-    rows = _nodes(spark, sf).join(_whole(spark, sf), "doc_id")
-    before, body = F.substring("w", F.lit(1), F.col("start")), F.substring("w", F.col("start") + 1, F.col("end") - F.col("start"))
-    breaks = lambda c: (F.length(c) - F.length(F.translate(c, "\n", ""))).cast("bigint")
-    return rows.select("doc_id", "node_id", (breaks(before) + 1).alias("first_line"), (breaks(before) + breaks(body) + 1).alias("last_line"), F.sha2(body, 256).alias("sha"))
+    return tree.citations(_nodes(spark, sf), _whole(spark, sf).withColumnRenamed("w", "text"))
 
 
-@query(f"""WITH RECURSIVE {NODES} SELECT c.doc_id, c.node_id, c.kind, p.node_id AS parent_id, p.kind AS parent_kind, p."end" - p.start AS parent_chars
-FROM nodes c JOIN nodes p ON p.doc_id = c.doc_id AND p.node_id = c.parent_id""")
+@query(f"""WITH RECURSIVE {NODES}, held AS MATERIALIZED (SELECT * FROM nodes) SELECT c.doc_id, c.node_id, c.kind, p.node_id AS parent_id, p.kind AS parent_kind, p."end" - p.start AS parent_chars
+FROM held c JOIN held p ON p.doc_id = c.doc_id AND p.node_id = c.parent_id""")
 def node_parents(spark, sf):
-    n = _nodes(spark, sf)
+    n = written(_nodes(spark, sf))
     p = n.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"), (F.col("end") - F.col("start")).alias("parent_chars"))
     return n.select("doc_id", "node_id", "kind", "parent_id").join(p, ["doc_id", "parent_id"])
 

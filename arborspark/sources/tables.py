@@ -35,12 +35,20 @@ def heading_hints(spark: SparkSession, path: str) -> DataFrame:
     return json_array(spark, path, HINTS)
 
 
-def write_index(parts: dict[str, DataFrame], path: str) -> None:
-    """Each table of an index as Parquet under one folder; an existing one is an error."""
+def write_index(parts: dict[str, DataFrame], path: str, docs: DataFrame | None = None, config: str | None = None) -> None:
+    """Each table of an index as Parquet under one folder; an existing one is an error.
+
+    With ``docs`` (``doc_id, text``) the bundle holds the source too, with the digest of
+    each text; with ``config``, a JSON text, the settings it was made with.
+    """
     for name, df in parts.items():
         if name not in PARTS:
             raise ValueError(f"unknown table {name!r}")
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
+    if docs is not None:
+        docs.select("doc_id", "text", F.sha2("text", 256).alias("sha")).write.mode("errorifexists").parquet(f"{path}/docs")
+        if config is not None:
+            docs.sparkSession.createDataFrame([(2, config)], "schema_version int, config string").coalesce(1).write.mode("errorifexists").json(f"{path}/settings")
 
 
 def read_index(spark: SparkSession, path: str, check: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -51,6 +59,20 @@ def read_index(spark: SparkSession, path: str, check: Callable[[DataFrame], Data
     return parts
 
 
+def read_bundle(spark: SparkSession, path: str, parts: tuple[str, ...] = ("nodes",)) -> tuple[dict[str, DataFrame], DataFrame, str | None]:
+    """``(tables, docs, config)`` of a bundle whose texts, ids and spans agree; anything else is an error."""
+    from arborspark.operators import checks
+
+    docs, tables = spark.read.parquet(f"{path}/docs"), {n: spark.read.parquet(f"{path}/{n}") for n in parts}
+    issues = checks.index_issues(tables["nodes"], docs, sha="sha").first()
+    if issues is not None:
+        raise ValueError(f"the bundle at {path} is not sound: {issues['rule']} in {issues['doc_id']}")
+    said = spark.read.schema("schema_version int, config string").json(f"{path}/settings").first()
+    if said is None or said["schema_version"] not in (1, 2):
+        raise ValueError("a bundle of an unknown version")
+    return tables, docs, said["config"]
+
+
 def append_log(df: DataFrame, path: str, compression: str = "gzip") -> None:
     df.write.mode("append").option("compression", compression).json(path)
 
