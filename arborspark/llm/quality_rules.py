@@ -50,8 +50,9 @@ def with_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     rows = rows.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("marks")).drop("words")
     n = F.size("marks")
-    mark = F.col("marks")
-    windows = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(mark, i + k) for k in range(WINDOW)]))
+    windows = F.col("marks")
+    for width in (1, 2, 4):  # hashes of 2, 4 and then 8 words, each from two hashes of half as many
+        windows = _paired(windows, width)
     rows = rows.select(
         *["id", "word_chars", "n_symbols", "n_marks", "n_upper"],
         F.size("lines").alias("n_lines"),
@@ -71,6 +72,16 @@ def with_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def _paired(hashes: Column, apart: int) -> Column:
+    """The hash of each element and the one so many places behind it."""
+
+    def made(a: Column) -> Column:
+        n = F.size(a) - apart
+        return F.when(n > 0, F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(apart + 1), n), lambda x, y: F.xxhash64(x, y))).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    return F.transform(F.array(hashes), made)[0]
+
+
 def _covered(windows: Column) -> Column:
     """Words inside windows whose hash stands twice or more: sorted by hash, then the places' gaps added up."""
     placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))

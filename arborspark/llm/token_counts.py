@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import prepare, table, text_of
+from arborspark.llm.common import partitions, prepare, table, text_of
 
 #: Pre-tokens joined on the map side, at most, and the characters of each: under 64 MB.
 HOT_ENTRIES, HOT_CHARS = 1 << 18, 48
-#: Distinct pre-tokens whose hashes clash, at most: at 10^10 of them about three pairs are to be expected.
+#: Hashes that several pre-tokens share, at most: at 10^10 of them about three pairs are to be expected.
 CLASHES = 1 << 12
 #: The space mark of the vocabulary, a fixed value.
 MARK = "▁"
@@ -94,18 +94,41 @@ def key_of(pre_token: str) -> int:
 
 
 def _pieces(distinct: DataFrame, path: str) -> DataFrame:
-    """``pre_token, key, n, n_pieces``: the model is asked once for each distinct pre-token.
+    """``pre_token, n, n_pieces``: the model is asked once for each distinct pre-token.
 
     The model puts a mark in front itself; a mark that stands alone is one piece.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = model(path).encode(words, num_threads=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(key_of, words), pa.int64()), batch.column(1), pa.array([max(1, len(x)) for x in ids], pa.int64())], ["pre_token", "key", "n", "n_pieces"])
+            ids = model(path).encode(batch.column(0).to_pylist(), num_threads=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([max(1, len(x)) for x in ids], pa.int64())], ["pre_token", "n", "n_pieces"])
 
-    return distinct.mapInArrow(run, "pre_token string, key bigint, n bigint, n_pieces bigint")
+    return distinct.mapInArrow(run, "pre_token string, n bigint, n_pieces bigint")
+
+
+def with_keys(counts: DataFrame) -> DataFrame:
+    """``pre_token, n, n_pieces, key``: keys are made when they are needed, not stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([key_of(p) for p in batch.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], ["pre_token", "n", "n_pieces", "key"])
+
+    return counts.select("pre_token", "n", "n_pieces").mapInArrow(run, "pre_token string, n bigint, n_pieces bigint, key bigint")
+
+
+def clashing(counts: DataFrame) -> list[int]:
+    """Keys on more than one pre-token, CLASHES + 1 at most. Nothing but the keys is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        keys = np.sort(np.concatenate([np.empty(0, np.int64), *[b.column(0).to_numpy() for b in batches]]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys[1:][keys[1:] == keys[:-1]]), pa.int64())], ["key"])
+
+    moved = counts.select("key").repartition(partitions(counts.sparkSession), "key")
+    return [r[0] for r in moved.mapInArrow(run, "key bigint").limit(CLASHES + 1).collect()]
 
 
 def hot_rows(counts: DataFrame) -> DataFrame:
@@ -117,16 +140,16 @@ def hot_rows(counts: DataFrame) -> DataFrame:
     short = counts.where(F.length("pre_token") <= HOT_CHARS)
     level = F.floor(F.log2("n") * 16).cast("int")
     bins = sorted(((r["level"], r["size"]) for r in short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect()), reverse=True)
-    least, total = None, 0
+    least, room = None, HOT_ENTRIES
     for at, size in bins:
-        total += size
-        if total > HOT_ENTRIES:
+        if size > room:
             break
-        least = at
-    twice = counts.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-    clash = counts.join(twice, "key", "left_semi").select("pre_token", "n_pieces").limit(CLASHES + 1)
-    hot = short.where(level >= least) if least is not None else short.limit(0)
-    return hot.select("pre_token", "n_pieces").unionByName(clash)
+        least, room = at, room - size
+    hot = short.limit(0) if least is None else short.where(level >= least)
+    keyed = counts if "key" in counts.columns else with_keys(counts)
+    keys = clashing(keyed)
+    clash = keyed.where(F.col("key").isin(keys)) if keys else counts.limit(0)
+    return hot.select("pre_token", "n_pieces").unionByName(clash.select("pre_token", "n_pieces").limit(2 * CLASHES + 2))
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
@@ -139,7 +162,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     counts = table(_pieces(_distinct(docs), path), "pre-token-pieces")
     rows = hot_rows(counts).toArrow()
-    if rows.num_rows > HOT_ENTRIES + CLASHES:
+    if rows.num_rows > HOT_ENTRIES + 2 * CLASHES:
         raise ValueError("too many pre-tokens share a hash")
     hot = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in rows.columns), strict=True)))
 
@@ -181,15 +204,16 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         docs = docs.withColumn("id", F.col("id").cast("string"))
         kind = "string"
     # A document is known by its partition and place in it, as ids may repeat or be null.
-    parts = docs.mapInArrow(run, f"id {kind}, row bigint, n_bytes bigint, n_hot bigint, key bigint, n bigint").withColumn("part", F.spark_partition_id())
-    parts = table(parts, "pre-token-frequencies")
+    parts = docs.mapInArrow(run, f"id {kind}, row bigint, n_bytes bigint, n_hot bigint, key bigint, n bigint")
+    place = F.shiftleft(F.spark_partition_id().cast("bigint"), 36) + F.col("row")
+    parts = table(parts.withColumn("row", place), "pre-token-frequencies")
     tail = (
         parts.where("key is not null")
-        .select("part", "row", "key", "n")
-        .join(counts.select("key", "n_pieces"), "key")
-        .groupBy("part", "row")
+        .select("row", "key", "n")
+        .join(with_keys(counts).select("key", "n_pieces"), "key")
+        .groupBy("row")
         .agg(F.sum(F.col("n") * F.col("n_pieces")).alias("n_tail"))
     )
-    heads = parts.where("key is null").select("part", "row", "id", "n_bytes", "n_hot")
+    heads = parts.where("key is null").select("row", "id", "n_bytes", "n_hot")
     n = F.col("n_hot") + F.coalesce("n_tail", F.lit(0))
-    return heads.join(tail, ["part", "row"], "left").select(F.col("id").alias(id_col), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    return heads.join(tail, "row", "left").select(F.col("id").alias(id_col), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
