@@ -53,7 +53,13 @@ def normal_words(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Unicode compatibility form. No built-in function has it: a vectorised one, given only what is not ASCII."""
-    form = F.pandas_udf(lambda values: values.str.normalize("NFKC"), "string", F.PandasUDFType.SCALAR)
+    def form(values):
+        return values.str.normalize("NFKC")
+
+    import pandas as pd
+
+    form.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    form = F.pandas_udf(form, "string")
     other = F.when(~text.rlike("^[\\x00-\\x7F]*$"), text)
     return F.coalesce(form(other), text)
 

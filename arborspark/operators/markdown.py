@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborspark.functions.text import blank_before, nfkc, normal_title, slug, stripped
+from arborspark.sources.work import written
 
 #: Block grammar, after the CommonMark text: up to three blanks of indent before any mark.
 FENCE = "^ {0,3}(`{3,}|~{3,})"
@@ -291,10 +292,11 @@ def index(docs: DataFrame, topics, found: DataFrame | None = None, sentences=Non
     from arborspark.operators import parse
 
     sentences = sentences or parse.sentences
-    found = with_text(blocks(docs), docs) if found is None else found
+    # Blocks, and then paragraphs with their topics, are read by several branches of the plan.
+    found = written(with_text(blocks(docs), docs)) if found is None else found
     source = docs.select("doc_id", "text").where("text is not null")
     heads = heading_parents(found.where("kind = 'heading'"))
-    entries = contents(found)
+    entries = written(contents(found))
     toc = found.join(entries.select("doc_id", "block").distinct(), ["doc_id", "block"], "left_semi")
     by = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     listed = entries.select("doc_id", "block", F.lit(True).alias("listed")).distinct()
@@ -304,7 +306,7 @@ def index(docs: DataFrame, topics, found: DataFrame | None = None, sentences=Non
     body = rows.where(~border).withColumn("paragraph", F.row_number().over(Window.partitionBy("doc_id").orderBy("block")) - 1)
     runs = body.select(F.struct("doc_id", "run").alias("doc_id"), F.col("paragraph").cast("bigint").alias("paragraph"), "text", "start", "end")
     topic = topics(runs).select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.run").alias("run"), "paragraph", "topic")
-    body = body.join(topic, ["doc_id", "run", "paragraph"])
+    body = written(body.join(topic, ["doc_id", "run", "paragraph"]))
     # A parent is known by its kind and start until ids are given.
     key = lambda kind, start: F.concat_ws(":", F.lit(kind), start.cast("string"))
     above = lambda start: F.coalesce(F.when(start.isNotNull(), key("heading", start)), F.lit("document:0"))
@@ -328,7 +330,7 @@ def index(docs: DataFrame, topics, found: DataFrame | None = None, sentences=Non
         node(body, "paragraph", F.concat(F.lit("Paragraph "), nth), F.col("start"), F.col("end"), key("section", F.col("first"))),
         node(inner, "sentence", F.col("text"), F.col("start"), F.col("end"), key("paragraph", F.col("first"))),
     ]
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = written(reduce(DataFrame.unionByName, parts))
     order = F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col("kind"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", order)) - 1
     rows = rows.withColumn("node_id", F.when(F.col("kind") == "document", F.lit("root")).otherwise(F.concat(F.lit("n"), F.lpad(number.cast("string"), 6, "0"))))

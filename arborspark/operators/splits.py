@@ -17,9 +17,9 @@ def duplicate_groups(items: DataFrame, item: str, keys: list[str], rounds: int =
     stars = None
     for key in keys:
         # A group's least item comes from an aggregate, so that no task holds a group of copies.
-        named = items.where(F.col(key).isNotNull()).select(F.col(item).alias("a"), key)
-        least = named.groupBy(key).agg(F.min("a").alias("b"))
-        part = named.join(least, key).where("a <> b").select("a", "b")
+        named = items.where(F.col(key).isNotNull()).select(F.col(item).alias("a"), F.col(key).alias("shared"))
+        least = named.groupBy("shared").agg(F.min("a").alias("b"))
+        part = named.join(least, "shared").where("a <> b").select("a", "b")
         stars = part if stars is None else stars.unionByName(part)
     stars = written(stars.distinct())
     labels = items.select(F.col(item).alias("a"), F.col(item).alias("grp")).distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborspark.operators import fusion
-from arborspark.sources.work import importable
+from arborspark.sources.work import importable, written
 
 TRACE = "step bigint, phase string, need bigint, depth bigint, parents array<string>, candidates array<string>, scores array<double>, refined array<string>, selected array<string>, terminals array<string>, spent bigint, status string"
 
@@ -198,7 +198,8 @@ def routed(nodes: DataFrame, needs: Sequence[str], beam: int, acceptance: float,
 
     A round asks about the children of all needs' fronts; it is paid for as a whole before
     it is scored, by its nodes and by ``cost``, the tokens of their previews. One join for
-    each level, one small aggregate for the budget; levels are at most ``depth``.
+    each level, one small aggregate for the budget, both written down, so that no plan grows
+    with the levels; these are at most ``depth``.
 
     ``status`` of a document: complete, routing_budget_exhausted, depth_budget_exhausted or
     no_accepted_branches.
@@ -211,15 +212,15 @@ def routed(nodes: DataFrame, needs: Sequence[str], beam: int, acceptance: float,
     order = Window.partitionBy(doc, "need").orderBy(F.desc("score"), "start", "node_id")
     out = None
     for level in range(1, depth + 1):
-        asked = tree.join(front, [doc, "parent_id"])
+        asked = written(tree.join(front, [doc, "parent_id"]))
         price = asked.groupBy(doc).agg(F.count(F.lit(1)).alias("more"), F.sum("cost").alias("dear"))
         paid = paid.join(price, doc, "left")
         over = F.col("end").isNull() & ((F.col("nodes") + F.col("more") > most_nodes) | (F.col("tokens") + F.col("dear") > most_tokens))
         go = F.col("end").isNull() & F.col("more").isNotNull() & ~F.coalesce(over, F.lit(False))
-        paid = paid.select(doc, (F.col("nodes") + F.when(go, F.col("more")).otherwise(0)).alias("nodes"), (F.col("tokens") + F.when(go, F.col("dear")).otherwise(0)).alias("tokens"), F.when(F.col("end").isNotNull(), F.col("end")).when(over, "routing_budget_exhausted").alias("end"))
+        paid = written(paid.select(doc, (F.col("nodes") + F.when(go, F.col("more")).otherwise(0)).alias("nodes"), (F.col("tokens") + F.when(go, F.col("dear")).otherwise(0)).alias("tokens"), F.when(F.col("end").isNotNull(), F.col("end")).when(over, "routing_budget_exhausted").alias("end")))
         going = paid.where("end is null").select(doc)
         scored = asked.join(going, doc, "left_semi").withColumn("score", F.get("scores", F.col("need")))
-        kept = scored.where(F.col("score") >= acceptance).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= beam)
+        kept = written(scored.where(F.col("score") >= acceptance).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= beam))
         part = kept.select(doc, "need", F.lit(level).cast("bigint").alias("depth"), "node_id", "score", "rank", "leads")
         out = part if out is None else out.unionByName(part)
         front = kept.where("leads").select(doc, F.col("node_id").alias("parent_id"), "need")

@@ -11,6 +11,7 @@ from arborspark.plans.corpus import BLANKS, NODES, TURNS, _nodes, jaccard_sql, s
 from arborspark.plans.registry import load, query
 from arborspark.plans.retrieval import CARDS, CONT_SQL, INTRO_SQL, LISTS, TURN_HITS, _cards, _lists
 from arborspark.plans.structure import GUIDE_TREE, _guides, _targets, _tree
+from arborspark.sources.work import written
 
 #: Of the conversations: sections of three turns, headings of six; some turns introduce a list or carry on another.
 LEANING = f"""parts AS MATERIALIZED (SELECT doc_id, paragraph, paragraph // 3 AS section, 'H' || paragraph // 6 AS heading, CASE WHEN paragraph % 4 = 0 THEN text || ':' WHEN paragraph % 4 = 2 THEN 'and ' || text ELSE text END AS text FROM turns),
@@ -39,8 +40,8 @@ ORDERED = "list_position(['active_source_introduction', 'preceding_source_paragr
 
 
 def _hop(n: int) -> str:
-    return f"""named{n} AS (SELECT t.question, t.doc_id, l.context AS target, min({{'s': t.seat, 'o': {ORDERED}}}) AS at FROM t{n - 1} t JOIN leans l ON l.doc_id = t.doc_id AND l.target = t.target WHERE NOT omitted AND role IN ('active_source_introduction', 'dependent_source_continuation') GROUP BY ALL),
-fresh{n} AS (SELECT n.*, (SELECT max(seat) FROM t{n - 1} m WHERE m.question = n.question AND m.doc_id = n.doc_id) + row_number() OVER (PARTITION BY n.question, n.doc_id ORDER BY at) AS seat FROM named{n} n ANTI JOIN t{n - 1} USING (question, doc_id, target)),
+    return f"""named{n} AS (SELECT t.question, t.doc_id, l.context AS target, min({{'s': t.seat, 'o': {ORDERED}}}) AS spot FROM t{n - 1} t JOIN leans l ON l.doc_id = t.doc_id AND l.target = t.target WHERE NOT omitted AND role IN ('active_source_introduction', 'dependent_source_continuation') GROUP BY ALL),
+fresh{n} AS (SELECT n.*, (SELECT max(seat) FROM t{n - 1} m WHERE m.question = n.question AND m.doc_id = n.doc_id) + row_number() OVER (PARTITION BY n.question, n.doc_id ORDER BY spot) AS seat FROM named{n} n ANTI JOIN t{n - 1} USING (question, doc_id, target)),
 t{n} AS MATERIALIZED (SELECT * FROM t{n - 1} UNION ALL SELECT question, doc_id, target, seat, {n} FROM fresh{n} WHERE seat <= 4)"""
 
 
@@ -68,9 +69,9 @@ def _need_scores(spark, sf):
     whole = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph", "text"))).alias("us")).select("doc_id", F.array_join(F.transform("us", lambda u: u["text"]), "\n\n").alias("text"))
     c = load(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.max_by("text", "turn").alias("last"), F.min_by("text", "turn").alias("first"))
     asks = c.select("doc_id", T.token_set(F.col("last")).alias("q0"), T.token_set(F.col("first")).alias("q1"))
-    rows = markdown.with_text(_nodes(spark, sf), whole).withColumn("s", T.token_set(F.col("text"))).join(asks, "doc_id")
+    rows = markdown.with_text(written(_nodes(spark, sf)), whole).withColumn("s", T.token_set(F.col("text"))).join(asks, "doc_id")
     score = lambda q: F.round(T.jaccard(F.col("s"), F.col(q)), 6)
-    return rows.select("doc_id", "node_id", "parent_id", "kind", "start", "depth", score("q0").alias("s0"), score("q1").alias("s1"))
+    return written(rows.select("doc_id", "node_id", "parent_id", "kind", "start", "depth", score("q0").alias("s0"), score("q1").alias("s1")))
 
 
 LAYERS = walk.Limits(beam=2, acceptance=0.02)
@@ -116,7 +117,7 @@ SELECT doc_id, rule, 0 AS n FROM searched, rules""")
 def trace_conformance(spark, sf):
     """Every step of every trace follows from the tree and the steps before: no violation of any rule."""
     nodes = _need_scores(spark, sf)
-    return walk.conformance(walk.trace(nodes, ["s0", "s1"], LAYERS), nodes).withColumn("n", F.col("n").cast("int"))
+    return walk.conformance(written(walk.trace(nodes, ["s0", "s1"], LAYERS)), nodes).withColumn("n", F.col("n").cast("int"))
 
 
 @query(f"""WITH {TURNS}, units_of AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 AND paragraph = 2 THEN 7 ELSE paragraph END AS paragraph, CASE WHEN doc_id % 5 = 2 THEN paragraph % 2 ELSE paragraph // 3 END AS section, CASE WHEN doc_id % 5 = 3 THEN 'h' || paragraph ELSE 'h' || paragraph // 3 END AS heading,
@@ -194,8 +195,8 @@ def need_issues(spark, sf):
 
 
 @query("""WITH n AS (SELECT conv_id AS k, turn AS place, role AS request FROM conversations), q AS (SELECT conv_id, arg_max(CASE WHEN conv_id % 2 = 0 THEN text ELSE role END, turn) AS request FROM conversations GROUP BY conv_id),
-every AS (SELECT * FROM n UNION ALL SELECT conv_id, 4611686018427387904, request FROM q), first_at AS (SELECT k, request, min(place) AS at FROM every GROUP BY ALL)
-SELECT k, request, row_number() OVER (PARTITION BY k ORDER BY at) - 1 AS place FROM first_at""")
+every AS (SELECT * FROM n UNION ALL SELECT conv_id, 4611686018427387904, request FROM q), first_at AS (SELECT k, request, min(place) AS spot FROM every GROUP BY ALL)
+SELECT k, request, row_number() OVER (PARTITION BY k ORDER BY spot) - 1 AS place FROM first_at""")
 def search_requests(spark, sf):
     """The needs of a search in order, then its question, each once."""
     c = load(spark, sf, "conversations")
@@ -212,7 +213,7 @@ up AS (SELECT doc_id, node_id, parent_id AS over FROM chosen WHERE parent_id IS
 SELECT doc_id, node_id FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM up u JOIN chosen o ON o.doc_id = u.doc_id AND o.node_id = u.over WHERE u.doc_id = c.doc_id AND u.node_id = c.node_id)""")
 def outermost_evidence(spark, sf):
     """Chosen nodes without those that lie below another chosen one."""
-    nodes = _nodes(spark, sf)
+    nodes = written(_nodes(spark, sf))
     chosen = nodes.where(F.substring(F.sha2(F.concat_ws(":", "doc_id", "node_id"), 256), 1, 1) < "6").select("doc_id", "node_id")
     return checks.without_covered(chosen, tree.paths(nodes))
 
@@ -237,7 +238,7 @@ tops AS (SELECT question, doc_id, row_number() OVER (PARTITION BY question ORDER
 
 @query(f"""WITH {POOLS} SELECT question, count(*) FILTER (ra <= 10) AS n_left, count(*) FILTER (rb <= 10) AS n_right, list(doc_id ORDER BY ra) FILTER (ra <= 10) = list(doc_id ORDER BY rb) FILTER (rb <= 10) AS same FROM tops GROUP BY question""")
 def pool_equality(spark, sf):
-    lists = _lists(spark, sf)
+    lists = written(_lists(spark, sf))
     weighted = lists.withColumn("w", F.when(F.col("source") == "best", 0.25).otherwise(0.75))
     one, two = fusion.fused(lists, "question", "doc_id", "place"), fusion.fused(weighted, "question", "doc_id", "place", weight="w")
     return checks.pools_differ(one, two, "question", "doc_id", "rank", 10)
@@ -249,7 +250,7 @@ broken AS (SELECT question, 'repeated' AS rule, count(*) FILTER (repeated) AS n
 SELECT * FROM broken WHERE n > 0""")
 def prediction_issues(spark, sf):
     """Rankings with faults put in; packings are made again and agree."""
-    cards = _cards(spark, sf)
+    cards = written(_cards(spark, sf))
     first = F.max(F.when(F.col("rank") == 1, F.col("item"))).over(Window.partitionBy("question"))
     item = F.when((F.col("rank") == 3) & (F.col("score") > 3), "nowhere").when(F.col("rank") == 2, first).otherwise(F.col("item"))
     rows = cards.where("rank <= 8").select("question", item.alias("item"), (F.col("rank") + F.when(F.col("rank") >= 6, 1).otherwise(0)).alias("rank"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from arborspark.operators import markdown, segment
 from arborspark.plans.corpus import BLANKS, jaccard_sql, posterior_sql, set_sql
 from arborspark.plans.registry import load, query
+from arborspark.sources.work import written
 
 #: A guide for each customer: contents with links, a printed entry and a dead one, nested and repeated headings, a fence, underlined titles.
 GUIDE = (
@@ -83,11 +84,11 @@ PRINTED = r"^(.+?)[ \t]*[.]{2,}[ \t]*([0-9]+|[ivxlcdmIVXLCDM]+)$"
 TITLE = rf"lower(trim(regexp_replace({{x}}, '[ \t\n]+', ' ', 'g')))"
 SLUG = r"regexp_replace(trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_ \t-]', '', 'g')), '[ \t]', '-', 'g')"
 ENTRIES = rf"""under_heads AS (SELECT *, arg_max(CASE WHEN kind = 'heading' THEN title END, CASE WHEN kind = 'heading' THEN block END) OVER (PARTITION BY doc_id ORDER BY block) AS under FROM blocks),
-toc_lines AS (SELECT doc_id, block, start AS at, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM under_heads WHERE kind = 'paragraph' AND NOT verbatim AND {TITLE.format(x='under')} IN ('contents', 'table of contents', '目录')),
+toc_lines AS (SELECT doc_id, block, start AS at0, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM under_heads WHERE kind = 'paragraph' AND NOT verbatim AND {TITLE.format(x='under')} IN ('contents', 'table of contents', '目录')),
 toc_marked AS (SELECT *, trim(line, {BLANKS}) AS s, regexp_replace(trim(line, {BLANKS}), '{ENTRY_LINE}', '') AS bare FROM toc_lines),
 toc_good AS (SELECT *, regexp_matches(bare, '{LINKED}') AS is_link, bool_and(s = '' OR regexp_matches(bare, '{LINKED}') OR regexp_matches(s, '{PRINTED}')) OVER (PARTITION BY doc_id, block) AS good,
   coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id, block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM toc_marked),
-entries AS MATERIALIZED (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY pos) - 1 AS entry, CAST(at + ahead + length(line) - length(ltrim(line, {BLANKS})) AS BIGINT) AS start, CAST(at + ahead + length(line) - length(ltrim(line, {BLANKS})) + length(s) AS BIGINT) AS "end",
+entries AS MATERIALIZED (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY pos) - 1 AS entry, CAST(at0 + ahead + length(line) - length(ltrim(line, {BLANKS})) AS BIGINT) AS start, CAST(at0 + ahead + length(line) - length(ltrim(line, {BLANKS})) + length(s) AS BIGINT) AS "end",
   trim(CASE WHEN is_link THEN regexp_extract(bare, '{LINKED}', 1) ELSE regexp_extract(s, '{PRINTED}', 1) END) AS title, CASE WHEN is_link THEN regexp_extract(bare, '{LINKED}', 2) END AS anchor, CASE WHEN NOT is_link THEN regexp_extract(s, '{PRINTED}', 2) END AS page FROM toc_good WHERE good AND s <> ''),
 slugs AS (SELECT doc_id, start, title, {TITLE.format(x='title')} AS name, {SLUG.format(x='title')} AS base, row_number() OVER (PARTITION BY doc_id, {SLUG.format(x='title')} ORDER BY start) - 1 AS nth FROM blocks WHERE kind = 'heading'),
 named_heads AS MATERIALIZED (SELECT *, CASE WHEN nth = 0 THEN base ELSE base || '-' || nth END AS slug, name IN ('contents', 'table of contents', '目录') AS own FROM slugs),
@@ -102,7 +103,7 @@ def guide_contents(spark, sf):
 
 def _found(spark, sf):
     docs = _guides(spark, sf)
-    return markdown.with_text(markdown.blocks(docs), docs)
+    return written(markdown.with_text(markdown.blocks(docs), docs))
 
 
 def _targets(spark, sf):
@@ -125,9 +126,9 @@ walk AS (SELECT doc_id, run, k, s AS anchor_set, CAST(0.95 AS DOUBLE) AS prev, f
   FROM (SELECT *, p <= 0.5 AND prev - p >= 0.2 AS c FROM (SELECT *, {posterior_sql('j', 0.95)} AS p FROM (SELECT n.doc_id, n.run, n.k, n.s, w.anchor_set, w.prev, {jaccard_sql('w.anchor_set', 'n.s')} AS j FROM walk w JOIN body n ON n.doc_id = w.doc_id AND n.run = w.run AND n.k = w.k + 1)))),
 topics AS MATERIALIZED (SELECT doc_id, run, k, sum(cut::INT) OVER (PARTITION BY doc_id, run ORDER BY k) AS topic FROM walk),
 full_body AS MATERIALIZED (SELECT b.*, t.topic, min(b.start) OVER (PARTITION BY b.doc_id, b.run, t.topic) AS first FROM body b JOIN topics t ON t.doc_id = b.doc_id AND t.run = b.run AND t.k = b.k),
-cut_sentences AS (SELECT doc_id, paragraph, start AS at, string_split(regexp_replace(text, '([.!?。！？]+["''”’)]*(?:[ \t\n\x0B\f\r]+|$))', '\1' || chr(1), 'g'), chr(1)) AS ps FROM full_body WHERE NOT verbatim),
-each_sentence AS (SELECT doc_id, paragraph, at, unnest(ps) AS piece, unnest(range(len(ps))) AS q FROM cut_sentences),
-laid AS (SELECT *, at + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, paragraph ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM each_sentence),
+cut_sentences AS (SELECT doc_id, paragraph, start AS at0, string_split(regexp_replace(text, '([.!?。！？]+["''”’)]*(?:[ \t\n\x0B\f\r]+|$))', '\1' || chr(1), 'g'), chr(1)) AS ps FROM full_body WHERE NOT verbatim),
+each_sentence AS (SELECT doc_id, paragraph, at0, unnest(ps) AS piece, unnest(range(len(ps))) AS q FROM cut_sentences),
+laid AS (SELECT *, at0 + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, paragraph ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM each_sentence),
 inner_nodes AS (SELECT doc_id, paragraph, b + length(piece) - length(ltrim(piece, {BLANKS})) AS start, b + length(piece) - length(ltrim(piece, {BLANKS})) + length(trim(piece, {BLANKS})) AS "end", trim(piece, {BLANKS}) AS title FROM laid WHERE trim(piece, {BLANKS}) <> ''
   UNION ALL SELECT doc_id, paragraph, start, "end", text FROM full_body WHERE verbatim),
 sections AS (SELECT doc_id, run, topic, min(start) AS start, max("end") AS "end", any_value(under) AS under FROM full_body GROUP BY ALL),
@@ -148,8 +149,7 @@ def _topics(units):
 
 
 def _tree(spark, sf):
-    docs = _guides(spark, sf)
-    return markdown.index(docs, _topics, _found(spark, sf))
+    return written(markdown.index(_guides(spark, sf), _topics, _found(spark, sf)))
 
 
 @query(f"WITH RECURSIVE {GUIDE_TREE} SELECT * FROM tree_nodes")
