@@ -63,19 +63,24 @@ class Ledger:
     SCHEMA = "blob string, version string, base array<struct<s:int,k:int,e:int>>, spans array<struct<s:int,k:int,e:int>>"
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark = spark
+        self.spark, self.shared = spark, path is not None
         self.path = path or table_path(spark, "blob-ledger")
         spark.createDataFrame([], self.SCHEMA).write.mode("append").parquet(self.path)
 
+    def _written(self, version: str) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("version") == version)
+
     def rows(self, version: str) -> DataFrame:
-        """One row for each blob, also where two scanners that ran at once have both appended it."""
-        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("version") == version)
+        """One row for each blob, also where two scanners that ran at once have both appended it to a shared ledger."""
+        rows = self._written(version)
+        if not self.shared:
+            return rows.select("blob", "base", "spans")
         return rows.groupBy("blob").agg(F.min(F.struct("base", "spans")).alias("found")).select("blob", "found.base", "found.spans")
 
     def update(self, texts: DataFrame, version: str) -> None:
         """Scan what is unseen of ``blob, text``."""
         blobs = texts.groupBy("blob").agg(F.first("text").alias("text")).withColumn("version", F.lit(version))
-        unseen = blobs.join(self.rows(version).select("blob"), "blob", "left_anti")
+        unseen = blobs.join(self._written(version).select("blob"), "blob", "left_anti")
         findings(unseen).write.mode("append").parquet(self.path)
 
 
