@@ -34,6 +34,10 @@ def joint_selection(scores: DataFrame, query: str, item: str, place: str, first:
     return rows.select(query, item, F.round("mean", 6).alias("mean"), "rank", (F.col("rank") <= k).alias("selected"))
 
 
+#: Roles of a unit that follows another, fixed values.
+DEPENDENT, FOLLOWING = "dependent_source_continuation", "following_source_paragraph"
+
+
 def is_introduction(text: Column) -> Column:
     return text.rlike(INTRODUCTION)
 
@@ -51,7 +55,7 @@ def neighbours(units: DataFrame, doc: str, section: str, order: str, text: str)
     rows = rows.withColumn("introduction", F.when(~F.col("is_intro"), F.col("li")))
     rows = rows.withColumn("preceding", F.when(~F.col("is_intro") & (F.col("li").isNull() | (F.col("lp") != F.col("li"))), F.col("lp")))
     depends = F.regexp_extract(F.rtrim(text), "[,:]$", 0).isin(",", ":") | stripped(F.col("after")).rlike(CONTINUATION)
-    role = F.when(F.col("following").isNotNull(), F.when(depends, "dependent_source_continuation").otherwise("following_source_paragraph"))
+    role = F.when(F.col("following").isNotNull(), F.when(depends, DEPENDENT).otherwise(FOLLOWING))
     return rows.select(doc, section, order, "is_intro", "introduction", "preceding", "following", role.alias("following_role"))
 
 

@@ -147,7 +147,7 @@ def bootstrap(spark, sf):
     return metrics.bootstrap(_scores(spark, sf), ["dataset", "method"], "cluster", "score", draws=40)
 
 
-#: Draws of the reference (scripts/retrieval_v3_statistics.py). The twins above have 40, from which no test of ten can be significant.
+#: Draws that a report takes. The twins above have 40, from which no test of ten can be significant.
 DRAWS = 10_000
 
 
