@@ -166,13 +166,15 @@ flags AS (SELECT question, coalesce(0 <= start AND start < "end" AND "end" <= le
 broken AS (SELECT question, 'bounds' AS rule, count(*) FILTER (NOT bounds) AS n FROM flags GROUP BY ALL UNION ALL SELECT question, 'text', count(*) FILTER (bounds AND NOT exact) FROM flags GROUP BY ALL UNION ALL SELECT question, 'overlap', count(*) FILTER (lap) FROM flags GROUP BY ALL UNION ALL SELECT question, 'repeated', count(*) FILTER (times > 1) FROM flags GROUP BY ALL)
 SELECT * FROM broken WHERE n > 0""")
 def span_issues(spark, sf):
+    from arborspark.operators import lexical
     from arborspark.plans.corpus import doc_units
 
     u = doc_units(spark, sf).select("doc_id", "paragraph", "start", "end")
     r = F.col("rank")
-    rows = _cards(spark, sf).where("rank <= 8").join(u, ["doc_id", "paragraph"])
+    rows = lexical.with_passages(_cards(spark, sf).where("rank <= 8"), u, ["doc_id", "paragraph"])
     rows = rows.select("question", "doc_id", F.when(r.isin(3, 4), "same").otherwise(F.col("item")).alias("item"), (F.col("start") + F.when(r == 2, 1).otherwise(0)).alias("start"), (F.col("end") + F.when(r == 5, 999999).otherwise(0)).alias("end"), "text")
-    return checks.span_issues(rows, load(spark, sf, "documents").select("doc_id", "text"), "question")
+    docs = lexical.with_passages(rows.select("doc_id").distinct(), load(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
+    return checks.span_issues(rows, docs, "question")
 
 
 @query("""WITH s AS (SELECT o_custkey AS k, list(CASE WHEN o_orderkey % 31 = 0 THEN NULL WHEN o_orderkey % 37 = 0 THEN 1.5 ELSE (o_orderkey % 11) / 10.0 END) AS xs, count(*) + CASE WHEN o_custkey % 13 = 0 THEN 1 ELSE 0 END AS asked FROM orders GROUP BY o_custkey),
