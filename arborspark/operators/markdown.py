@@ -61,9 +61,15 @@ def _fence_roles(lines: Column) -> Column:
     return _bound(marks, laid_out)
 
 
+def dealt(rows: DataFrame, by: str = "doc_id") -> DataFrame:
+    """``rows`` dealt by document before they grow: few splits of a small table become many tasks, and no window by document moves a line."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, pos, line, start, stop, fence``: lines without their ends, from ``start`` to the next line's start, with the start of the fence they are in."""
-    raw = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.split(text_col, "\n").alias("raw"), F.length(text_col).alias("size"))
+    docs = dealt(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    raw = docs.select("doc_id", F.split("text", "\n").alias("raw"), F.length("text").alias("size"))
     rows = raw.select("doc_id", "size", _bound(F.col("raw"), lambda x: F.zip_with(x, _fence_roles(x), lambda raw, role: F.struct(raw.alias("raw"), role.alias("role")))).alias("xs"))
     rows = rows.select("doc_id", "size", F.posexplode("xs").alias("pos", "x")).select("doc_id", "size", F.col("pos").cast("bigint").alias("pos"), "x.raw", "x.role")
     by = Window.partitionBy("doc_id").orderBy("pos")
@@ -80,6 +86,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Lines between blank ones, headings and fences form an island. While its lines come in
     pairs of a title and an underline, these are headings; what is left is one paragraph.
+    A block is told on one of its lines, so lines are made and passed over once.
     """
     rows = lines_of(docs, id_col, text_col)
     by = Window.partitionBy("doc_id").orderBy("pos")
@@ -93,21 +100,24 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     paired = F.when(idx % 2 == 0, F.coalesce(F.lead(rule).over(on), F.lit(False))).otherwise(rule)
     rows = rows.withColumn("idx", idx).withColumn("paired", paired).withColumn("after", F.lead("line").over(on)).withColumn("after_stop", F.lead("stop").over(on))
     rows = rows.withColumn("setext", F.col("inner") & F.min("paired").over(on.rowsBetween(Window.unboundedPreceding, 0)))
-    make = lambda kind, start, end, title, level, verbatim: F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), title.alias("title"), level.cast("bigint").alias("level"), F.lit(verbatim).alias("verbatim"))
+    make = lambda kind, start, end, title, level, verbatim: F.struct(F.lit(kind).alias("kind"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), title.alias("title"), level.cast("bigint").alias("level"), F.lit(verbatim).alias("verbatim"))
 
-    # One row for each heading; lines of paragraphs and fences are put together.
+    # Headings are told on their first line, paragraphs on theirs, fences on their last one.
+    line, start, fence = F.col("line"), F.col("start"), F.col("fence")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("opens", fence.isNotNull() & ~fence.eqNullSafe(F.lag("fence").over(by))).withColumn("shuts", fence.isNotNull() & ~fence.eqNullSafe(F.lead("fence").over(by)))
+    rows = rows.withColumn("opened", F.max(F.when(F.col("opens"), start)).over(so_far)).withColumn("said", F.max(F.when(line != "", start + F.length("line"))).over(so_far))
+    whole = on.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("until", F.last(start + F.length(F.rtrim(line, F.lit(" \t\x0b\x0c\r")))).over(whole)).withColumn("goes_on", ~F.coalesce(F.lag("setext").over(on), F.lit(True)))
     bare = F.regexp_replace(stripped(F.regexp_replace("line", "^ {0,3}#{1,6}", "")), "[ \\t\\x0B\\f\\r]+#+$", "")
-    heads = rows.where(F.col("atx")).select("doc_id", make("heading", F.col("start"), F.col("stop"), stripped(bare), F.length(F.regexp_extract("line", "^ *(#+)", 1)), False).alias("b"))
-    under = rows.where(F.col("setext") & (F.col("idx") % 2 == 0))
-    heads = heads.unionByName(under.select("doc_id", make("heading", F.col("start"), F.col("after_stop"), stripped(F.col("line")), F.when(F.ltrim("after").startswith("="), 1).otherwise(2), False).alias("b")))
-    left = lambda c: F.min_by(c, "pos")
-    right = lambda c: F.max_by(c, "pos")
     none, zero = F.lit(""), F.lit(0)
-    bodies = rows.where(F.col("inner") & ~F.col("setext")).groupBy("doc_id", "island").agg((left("start") + left(blank_before(F.col("line")))).alias("s"), (right("start") + F.length(F.rtrim(right("line"), F.lit(" \t\x0b\x0c\r")))).alias("e"))
-    code = rows.where("fence is not null").groupBy("doc_id", "fence").agg(left("start").alias("s"), F.max(F.when(F.col("line") != "", F.col("start") + F.length("line"))).alias("e"))
-    out = heads.unionByName(bodies.select("doc_id", make("paragraph", F.col("s"), F.col("e"), none, zero, False).alias("b")))
-    out = out.unionByName(code.select("doc_id", make("paragraph", F.col("s"), F.col("e"), none, zero, True).alias("b")))
-    out = out.select("doc_id", "b.*")
+    block = (
+        F.when(F.col("atx"), make("heading", start, F.col("stop"), stripped(bare), F.length(F.regexp_extract("line", "^ *(#+)", 1)), False))
+        .when(F.col("setext") & (F.col("idx") % 2 == 0), make("heading", start, F.col("after_stop"), stripped(line), F.when(F.ltrim("after").startswith("="), 1).otherwise(2), False))
+        .when(F.col("inner") & ~F.col("setext") & ~F.col("goes_on"), make("paragraph", start + blank_before(line), F.col("until"), none, zero, False))
+        .when(F.col("shuts"), make("paragraph", F.col("opened"), F.col("said"), none, zero, True))
+    )
+    out = rows.select("doc_id", block.alias("b")).where("b is not null").select("doc_id", "b.*")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1
     return out.select("doc_id", number.cast("bigint").alias("block"), "kind", "start", "end", "title", "level", "verbatim")
 
@@ -216,13 +226,26 @@ def contents(found: DataFrame) -> DataFrame:
     Blocks after a heading that is titled as a table of contents, up to the next heading,
     count where every line of theirs is an entry. Anchors have their percent codes decoded.
     """
+    return _entries(_listed(found).where("listed")).drop("at")
+
+
+def _bare(line: Column) -> Column:
+    return F.regexp_replace(stripped(line), LIST_MARK, "")
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    """Adds ``listed``: whether a block with ``text`` is one of a table of contents."""
     by = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     under = F.last(F.when(F.col("kind") == "heading", F.struct("title")), ignorenulls=True).over(by)
-    rows = found.withColumn("under", normal_title(under["title"])).where((F.col("kind") == "paragraph") & ~F.col("verbatim") & F.col("under").isin(*CONTENTS))
-    one = lambda x: F.regexp_replace(stripped(x), LIST_MARK, "")
-    lines = F.split("text", "\n")
-    rows = rows.where(F.forall(lines, lambda x: (stripped(x) == "") | one(x).rlike(LINK) | stripped(x).rlike(PRINTED)))
-    rows = rows.select("doc_id", "block", F.col("start").alias("at"), F.posexplode(lines).alias("pos", "line"))
+    titled = (F.col("kind") == "paragraph") & ~F.col("verbatim") & normal_title(F.col("over")["title"]).isin(*CONTENTS)
+    listed = F.forall(F.split("text", "\n"), lambda x: (stripped(x) == "") | _bare(x).rlike(LINK) | stripped(x).rlike(PRINTED))
+    return found.withColumn("over", under).withColumn("listed", F.when(titled, listed).otherwise(False) & (stripped(F.col("text")) != "")).drop("over")
+
+
+def _entries(listed: DataFrame) -> DataFrame:
+    """:func:`contents` of the blocks that are listed, with ``at``, where the block begins."""
+    one = _bare
+    rows = listed.select("doc_id", "block", F.col("start").alias("at"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     order = Window.partitionBy("doc_id", "block").orderBy("pos")
     begin = F.col("at") + F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + blank_before(F.col("line"))
     rows = rows.withColumn("begin", begin.cast("bigint")).where(stripped(F.col("line")) != "")
@@ -230,7 +253,7 @@ def contents(found: DataFrame) -> DataFrame:
     title = stripped(F.when(is_link, F.regexp_extract(one(F.col("line")), LINK, 1)).otherwise(F.regexp_extract(stripped(F.col("line")), PRINTED, 1)))
     anchor = F.when(is_link, F.try_url_decode(F.replace(F.regexp_extract(one(F.col("line")), LINK, 2), F.lit("+"), F.lit("%2B"))))
     number = (F.row_number().over(order) - 1).cast("bigint")
-    return rows.select("doc_id", "block", number.alias("entry"), F.col("begin").alias("start"), (F.col("begin") + F.length(stripped(F.col("line")))).alias("end"), title.alias("title"), anchor.alias("anchor"), F.when(~is_link, F.regexp_extract(stripped(F.col("line")), PRINTED, 2)).alias("page"))
+    return rows.select("doc_id", "block", "at", number.alias("entry"), F.col("begin").alias("start"), (F.col("begin") + F.length(stripped(F.col("line")))).alias("end"), title.alias("title"), anchor.alias("anchor"), F.when(~is_link, F.regexp_extract(stripped(F.col("line")), PRINTED, 2)).alias("page"))
 
 
 def anchors(heads: DataFrame) -> DataFrame:
@@ -296,13 +319,11 @@ def index(docs: DataFrame, topics, found: DataFrame | None = None, sentences=Non
     found = written(with_text(blocks(docs), docs)) if found is None else found
     source = docs.select("doc_id", "text").where("text is not null")
     heads = heading_parents(found.where("kind = 'heading'"))
-    entries = written(contents(found))
-    toc = found.join(entries.select("doc_id", "block").distinct(), ["doc_id", "block"], "left_semi")
     by = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    listed = entries.select("doc_id", "block", F.lit(True).alias("listed")).distinct()
-    rows = found.join(listed, ["doc_id", "block"], "left")
-    border = (F.col("kind") == "heading") | F.coalesce("listed", F.lit(False))
+    rows = _listed(found)
+    border = (F.col("kind") == "heading") | F.col("listed")
     rows = rows.withColumn("run", F.sum(border.cast("int")).over(by)).withColumn("under", F.last(F.when(F.col("kind") == "heading", F.col("start")), ignorenulls=True).over(by))
+    toc = rows.where("listed")
     body = rows.where(~border).withColumn("paragraph", F.row_number().over(Window.partitionBy("doc_id").orderBy("block")) - 1)
     runs = body.select(F.struct("doc_id", "run").alias("doc_id"), F.col("paragraph").cast("bigint").alias("paragraph"), "text", "start", "end")
     topic = topics(runs).select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.run").alias("run"), "paragraph", "topic")
@@ -314,18 +335,16 @@ def index(docs: DataFrame, topics, found: DataFrame | None = None, sentences=Non
     size = source.select("doc_id", F.length("text").cast("bigint").alias("size"), *([F.col(title_col).alias("named")] if title_col else []))
     heads = heads.join(size.select("doc_id", "size"), "doc_id")
     groups = body.groupBy("doc_id", "run", "topic").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("under", "start").alias("under"))
-    body = body.join(groups.select("doc_id", "run", "topic", F.col("start").alias("first")), ["doc_id", "run", "topic"])
+    body = body.withColumn("first", F.min("start").over(Window.partitionBy("doc_id", "run", "topic")))
     nth = F.row_number().over(Window.partitionBy("doc_id", "first").orderBy("start")).cast("string")
-    toc = toc.join(rows.select("doc_id", "block", "under"), ["doc_id", "block"])
-    inner = sentences(body.select("doc_id", "paragraph", "start", F.when(F.col("verbatim"), F.lit("")).otherwise(F.col("text")).alias("text"), "verbatim"), ["doc_id", "paragraph"])
-    inner = inner.join(body.select("doc_id", "paragraph", F.col("start").alias("first")), ["doc_id", "paragraph"])
+    inner = sentences(body.select("doc_id", "paragraph", "start", F.when(F.col("verbatim"), F.lit("")).otherwise(F.col("text")).alias("text"), "verbatim", F.col("start").alias("first")), ["doc_id", "paragraph", "first"])
     whole = body.where("verbatim").select("doc_id", "paragraph", "start", "end", "text", F.col("start").alias("first"))
     inner = inner.select("doc_id", "paragraph", "start", "end", "text", "first").unionByName(whole)
     parts = [
         node(size, "document", F.lit(None).cast("string"), F.lit(0), F.col("size"), F.lit(None).cast("string")),
         node(heads, "heading", F.col("title"), F.col("start"), F.coalesce("until", "size"), above(F.col("parent"))),
         node(toc, "toc", F.lit("Contents entries"), F.col("start"), F.col("end"), above(F.col("under"))),
-        node(entries.join(toc.select("doc_id", "block", F.col("start").alias("first")), ["doc_id", "block"]), "toc_entry", F.col("title"), F.col("start"), F.col("end"), key("toc", F.col("first"))),
+        node(_entries(toc), "toc_entry", F.col("title"), F.col("start"), F.col("end"), key("toc", F.col("at"))),
         node(groups, "section", F.lit(None).cast("string"), F.col("start"), F.col("end"), above(F.col("under"))),
         node(body, "paragraph", F.concat(F.lit("Paragraph "), nth), F.col("start"), F.col("end"), key("section", F.col("first"))),
         node(inner, "sentence", F.col("text"), F.col("start"), F.col("end"), key("paragraph", F.col("first"))),

@@ -10,7 +10,7 @@ from arborspark.operators import checks, fusion, markdown, pack, packet, tree, w
 from arborspark.plans.corpus import BLANKS, NODES, TURNS, _nodes, jaccard_sql, set_sql, turn_units
 from arborspark.plans.registry import load, query
 from arborspark.plans.retrieval import CARDS, CONT_SQL, INTRO_SQL, LISTS, TURN_HITS, _cards, _lists
-from arborspark.plans.structure import GUIDE_TREE, _guides, _targets, _tree
+from arborspark.plans.structure import GUIDE_TREE, _found, _guides, _targets, _tree
 from arborspark.sources.work import written
 
 #: Of the conversations: sections of three turns, headings of six; some turns introduce a list or carry on another.
@@ -152,11 +152,12 @@ broken AS (SELECT doc_id, 'span' AS rule, count(*) FILTER (NOT (coalesce(ps, 0)
 SELECT * FROM broken WHERE n > 0""")
 def index_issues(spark, sf):
     """Faults put into the content trees of guides, and what the check of an index says of them."""
-    nodes, d, name = _tree(spark, sf), F.col("doc_id"), F.col("node_id")
+    found = _found(spark, sf)
+    nodes, d, name = _tree(spark, sf, found), F.col("doc_id"), F.col("node_id")
     bad = nodes.select("doc_id", F.when((d % 4 == 1) & (name == "n000003"), "n000002").otherwise(name).alias("node_id"), F.when((d % 4 == 2) & (name == "n000004"), "gone").otherwise(F.col("parent_id")).alias("parent_id"), "kind", "start", (F.col("end") + F.when((d % 4 == 3) & (F.col("kind") == "sentence"), 900).otherwise(0)).alias("end"))
     docs = _guides(spark, sf).withColumn("sha", F.when(d % 6 == 0, "stale").otherwise(F.sha2("text", 256)))
     heads = nodes.where("kind = 'heading'").select("doc_id", F.col("start").alias("target"), F.col("node_id").alias("target_id"))
-    targets = _targets(spark, sf).join(heads, ["doc_id", "target"]).select("doc_id", "start", "target_id")
+    targets = _targets(found).join(heads, ["doc_id", "target"]).select("doc_id", "start", "target_id")
     return checks.index_issues(bad, docs, sha="sha", targets=targets)
 
 

@@ -106,15 +106,14 @@ def _found(spark, sf):
     return written(markdown.with_text(markdown.blocks(docs), docs))
 
 
-def _targets(spark, sf):
-    found = _found(spark, sf)
+def _targets(found):
     return markdown.resolved(markdown.contents(found), found.where("kind = 'heading'"))
 
 
 @query(f"WITH RECURSIVE {BLOCKS}, {ENTRIES} SELECT * FROM targets")
 def guide_targets(spark, sf):
     """Entries of tables of contents and the headings they lead to."""
-    return _targets(spark, sf)
+    return _targets(_found(spark, sf))
 
 
 #: Topic runs between headings and contents, cut as in the topic queries; sentences; nodes with ids in source order.
@@ -148,8 +147,8 @@ def _topics(units):
     return segment.groups(units, segment.anchor_drop(units, 0.95))
 
 
-def _tree(spark, sf):
-    return written(markdown.index(_guides(spark, sf), _topics, _found(spark, sf)))
+def _tree(spark, sf, found=None):
+    return written(markdown.index(_guides(spark, sf), _topics, _found(spark, sf) if found is None else found))
 
 
 @query(f"WITH RECURSIVE {GUIDE_TREE} SELECT * FROM tree_nodes")
@@ -168,9 +167,10 @@ def guide_outline(spark, sf):
 SELECT n.doc_id, asked, count(*) AS n_nodes, max(n.node_id) AS last_node FROM asked JOIN tree_nodes n ON n.doc_id = asked.doc_id AND n.start >= a AND n."end" <= b GROUP BY ALL""")
 def guide_scopes(spark, sf):
     """What lies below each heading and below the heading that each entry of the contents leads to."""
-    nodes = _tree(spark, sf)
+    found = _found(spark, sf)
+    nodes = _tree(spark, sf, found)
     asked = nodes.where("kind in ('toc_entry', 'heading')").select("doc_id", F.col("node_id").alias("asked"))
-    inside = markdown.scope(nodes, _targets(spark, sf), asked)
+    inside = markdown.scope(nodes, _targets(found), asked)
     return inside.groupBy("doc_id", "asked").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("node_id").alias("last_node"))
 
 
