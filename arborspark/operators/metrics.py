@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from itertools import accumulate
 from math import exp, factorial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborspark.operators.draws import drawn, summed
+
 
 def paragraph_metrics(predicted: DataFrame, references: DataFrame, query: str, item: str, place: str, k: int = 5) -> DataFrame:
     """``query, precision, recall, f1, complete`` at k: each the best over the query's alternative reference sets (``ref``)."""
@@ -49,20 +51,17 @@ def holm(rows: DataFrame, family: list[str], p: str, item: list[str]) -> DataFra
     return rows.withColumn("__step", step).withColumn("adjusted", F.round(F.max("__step").over(order.rowsBetween(Window.unboundedPreceding, 0)), 6)).drop("__step")
 
 
-def hash_sign(seed: int, draw: Column, cluster: Column) -> Column:
-    """+1 or -1, from a digest, so that any engine draws the same."""
-    return F.when(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), draw, cluster), 256), 1, 1) < "8", 1).otherwise(-1)
+def sign_test(differences: DataFrame, pair: list[str], cluster: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
+    """``pair, mean, p``: cluster sums keep or change sign at random; two-sided, the observed one counted too.
 
+    A sign is + where the digest of the draw and the cluster begins with a digit below 8.
+    """
+    def made(s, n):
+        return float(s[0]), float(n[0]), int((abs(s[1:]) >= abs(s[0]) - 1e-9).sum())
 
-def sign_test(differences: DataFrame, pair: list[str], cluster: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
-    """``pair, mean, p``: cluster sums keep or change sign at random; two-sided, the observed one counted too."""
-    sums = differences.groupBy(*pair, cluster).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    observed = sums.groupBy(*pair).agg(F.sum("s").alias("total"), F.sum("n").alias("n"))
-    drawn = sums.select(*pair, cluster, "s", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    moved = drawn.groupBy(*pair, "draw").agg(F.sum(F.col("s") * hash_sign(seed, F.col("draw"), F.col(cluster))).alias("t"))
-    p = (F.count_if(F.abs("t") >= F.abs("total") - 1e-9) + 1) / (draws + 1)
-    rows = moved.join(observed, pair).groupBy(*pair, "total", "n").agg(p.alias("p"))
-    return rows.select(*pair, F.round(F.col("total") / F.col("n"), 6).alias("mean"), F.round("p", 6).alias("p"))
+    parts = drawn(differences, pair, cluster, value, lambda x: 1.0 - 2.0 * (x >> 31), draws, seed, counts=False)
+    rows = summed(parts, pair, made, "total double, n double, reached bigint")
+    return rows.select(*pair, F.round(F.nanvl("total", F.lit(None).cast("double")) / F.col("n"), 6).alias("mean"), F.round((F.col("reached") + 1) / (draws + 1), 6).alias("p"))
 
 
 #: Poisson distribution with mean 1, as far as a 32-bit draw tells its steps apart.
