@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import accumulate
-from math import exp, factorial
+from math import ceil, exp, factorial, nan
 
+from numpy import quantile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,16 +74,18 @@ def bootstrap(rows: DataFrame, group: list[str], cluster: str, value: str, draws
 
     A weight is the number of ``steps`` at or below its draw: 0 to 3 as the twin has it, or Poisson without a cap.
     """
-    sums = rows.groupBy(*group, cluster).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    drawn = sums.select(*group, cluster, "s", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "draw", cluster), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    w = F.lit(len(steps))
-    for k in reversed(range(len(steps))):
-        w = F.when(u < steps[k], k).otherwise(w)
-    means = drawn.withColumn("w", w).groupBy(*group, "draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
-    ends = means.groupBy(*group).agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
-    total = sums.groupBy(*group).agg(F.round(F.sum("s") / F.sum("n"), 6).alias("mean"))
-    return total.join(ends, group)
+    bounds = [ceil(x * (1 << 32)) for x in steps]
+
+    def weigh(x):
+        return sum((x >= b for b in bounds if b < 1 << 32), x * 0)
+
+    def made(s, n):
+        means = s[1:][n[1:] > 0] / n[1:][n[1:] > 0]
+        ends = quantile(means, [0.025, 0.975]).tolist() if len(means) else [nan, nan]
+        return float(s[0] / n[0]), *ends
+
+    found = summed(drawn(rows, group, cluster, value, weigh, draws, seed, counts=True), group, made, "mean double, low double, high double")
+    return found.select(*group, *[F.round(F.nanvl(c, F.lit(None).cast("double")), 6).alias(c) for c in ("mean", "low", "high")])
 
 
 def accuracy(rows: DataFrame, group: list[str], answer: str, label: str) -> DataFrame:

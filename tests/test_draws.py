@@ -2,7 +2,9 @@
 
 import hashlib
 from collections import defaultdict
+from math import exp, factorial
 
+import numpy as np
 import pytest
 
 from arborspark.operators import draws, metrics
@@ -48,3 +50,21 @@ def test_signs(rows):
         reached = sum(abs(sum(s * (1 if number(d, c) < 1 << 31 else -1) for c, (s, _) in by.items())) >= abs(total) - 1e-9 for d in range(1, 31))
         if g != "none":
             assert got[g] == pytest.approx((total / n, (reached + 1) / 31), abs=1e-6)
+
+
+def test_bootstrap_weights(rows):
+    df, data = rows
+    got = metrics.bootstrap(df, ["g"], "c", "v", draws=30, steps=metrics.POISSON)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString(), "a cluster is not copied for each draw"
+    got, want = {r["g"]: (r["mean"], r["low"], r["high"]) for r in got.collect()}, sums(data)
+    assert got.keys() == want.keys() and got["none"] == (None, None, None)
+    steps = np.cumsum([exp(-1) / factorial(k) for k in range(13)])
+    for g, by in want.items():
+        means = []
+        for d in range(1, 31):
+            w = {c: np.searchsorted(steps, number(d, c) / 2**32, side="right") for c in by}
+            n = sum(w[c] * n for c, (_, n) in by.items())
+            means += [sum(w[c] * s for c, (s, _) in by.items()) / n] if n else []
+        if g != "none":
+            mean = sum(s for s, _ in by.values()) / sum(n for _, n in by.values())
+            assert got[g] == pytest.approx((mean, *np.quantile(means, [0.025, 0.975])), abs=1e-6)
