@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from arborspark.operators import draws, metrics
+from arborspark.plans import evaluation
 
 CLUSTERS = [None, "", "a", "é日本", "x" * 60, "x" * 48, *map(str, range(310))]
 
@@ -68,3 +69,8 @@ def test_bootstrap_weights(rows):
         if g != "none":
             mean = sum(s for s, _ in by.values()) / sum(n for _, n in by.values())
             assert got[g] == pytest.approx((mean, *np.quantile(means, [0.025, 0.975])), abs=1e-6)
+
+
+def test_holm_takes_the_summed_draws(spark):
+    plan = evaluation.holm_10k(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan, "a cluster is not copied for each draw"
