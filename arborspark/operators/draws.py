@@ -1,17 +1,19 @@
 """Draws by digest, summed by group: each cluster's digests are made once for all groups.
 
 A draw's number for a cluster is the first 32 bits of SHA-256 of ``seed:draw:cluster``, so
-that any engine draws the same. Digests are made for many draws and clusters at once, a
-step of the digest for all of them by one array operation.
+that any engine draws the same. Signs need one bit of it: Spark's own digest, compiled, makes
+them in blocks of draws. Numbers are made for many draws and clusters at once, a step of the
+digest for all of them by one array operation.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborspark.sources.work import importable
@@ -31,8 +33,8 @@ def _root(p: int, power: int) -> int:
 
 _K = [_root(p, 3) for p in _PRIMES]
 _H = [_root(p, 2) for p in _PRIMES[:8]]
-#: Bytes of a text that fits one block, digests made at once, groups whose sums a task holds, tasks at most.
-ONE_BLOCK, AT_ONCE, HELD, TASKS = 55, 60_000, 256, 96
+#: Bytes of a text that fits one block, digests made at once, groups whose sums a task holds, tasks at most, draws whose signs are bits of one row.
+ONE_BLOCK, AT_ONCE, HELD, TASKS, BITS = 55, 60_000, 256, 96, 16
 
 
 def _turned(x: np.ndarray, turns: tuple[int, ...], shift: int, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -123,70 +125,149 @@ def numbers(heads: list[bytes], tails: list[bytes]) -> Iterator[tuple[int, np.nd
         yield at, out
 
 
+class _Sums:
+    """Sums by group in a task: of ``HELD`` groups at most, which ``told`` gives as a part to begin anew."""
+
+    def __init__(self, group: list[str], draws: int, counts: bool):
+        from pyspark import TaskContext
+
+        self.group, self.counts, self.held, self.part = group, counts, {}, TaskContext.get().partitionId() << 32
+        self.s, self.n, self.known = np.zeros((HELD, draws + 1)), np.zeros((HELD, draws + 1 if counts else 1)), np.zeros(HELD, bool)
+
+    def full(self, key: tuple) -> bool:
+        return key not in self.held and len(self.held) == HELD
+
+    def place(self, key: tuple) -> int:
+        return self.held.setdefault(key, len(self.held))
+
+    def add(self, of: np.ndarray, at: np.ndarray, own: np.ndarray, many: np.ndarray, clusters: int, weights: Iterable[tuple[slice, np.ndarray]]) -> None:
+        """Adds up rows: of the cluster ``of``, the group held at ``at``; ``weights`` are those of some clusters at a time under all draws."""
+        used = len(self.held)
+        mine, number = np.zeros((used, clusters)), np.zeros((used, clusters))
+        np.add.at(mine, (at, of), np.nan_to_num(own))
+        np.add.at(number, (at, of), many)
+        self.known[at[~np.isnan(own)]] = True
+        self.s[:used, 0] += mine.sum(axis=1)
+        self.n[:used, 0] += number.sum(axis=1)
+        for here, w in weights:
+            self.s[:used, 1:] += mine[:, here] @ w
+            if self.counts:
+                self.n[:used, 1:] += number[:, here] @ w
+
+    def told(self) -> Iterator:
+        import pandas as pd
+
+        for key, k in self.held.items():
+            yield pd.DataFrame([(*key, self.part, self.s[k].tobytes(), self.n[k].tobytes(), bool(self.known[k]))], columns=[*self.group, "part", "s", "n", "known"])
+        self.part += 1
+        self.held.clear()
+        self.s[:], self.n[:], self.known[:] = 0, 0, False
+
+
+def _dealt(rows: DataFrame, group: list[str], cluster: str, value: str) -> tuple[DataFrame, str]:
+    """``group, __tail, s, n`` of each group and cluster, a cluster's rows in one task; and the columns of a part."""
+    sums = rows.groupBy(*group, cluster).agg(F.sum(value).cast("double").alias("s"), F.count(F.lit(1)).alias("n")).dropna(subset=group)
+    named = sums.select(*group, F.coalesce(F.concat(F.lit(":"), F.col(cluster).cast("string")), F.lit("")).alias("__tail"), "s", "n")
+    tasks = min(TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in group)
+    return importable(named).repartition(tasks, "__tail"), f"{kinds}, part bigint, s binary, n binary, known boolean"
+
+
+def signed(rows: DataFrame, group: list[str], cluster: str, value: str, draws: int, seed: int) -> DataFrame:
+    """``drawn`` with the weight 1 where a digest begins with a digit below 8, else -1; ``n`` holds the count without a draw.
+
+    The first row of a cluster meets all blocks of draws, and a block's signs are the bits of one number.
+    """
+    dealt, kinds = _dealt(rows, group, cluster, value)
+    number = F.row_number().over(Window.partitionBy("__tail").orderBy(*group))
+    own = dealt.select("*", (number == 1).alias("__first")).withColumn("__row", F.monotonically_increasing_id())
+    n_blocks = -(-draws // BITS)
+    heads = [F.concat(F.lit(f"{seed}:"), (F.col("id") * BITS + k + 1).cast("string")).alias(f"__head{k}") for k in range(BITS)]
+    blocks = rows.sparkSession.range(0, n_blocks, 1, 1).select(F.col("id").cast("int").alias("__block"), *heads)
+    turned = [F.when(F.sha2(F.concat(f"__head{k}", "__tail"), 256) >= "8", 1 << k).otherwise(0) for k in range(BITS)]
+    bits = F.when(F.col("__first"), reduce(lambda a, b: a.bitwiseOR(b), turned)).otherwise(0)
+    met = own.join(F.broadcast(blocks), F.col("__first") | (F.col("__block") == 0))
+
+    def added(batches):
+        sums = _Sums(group, draws, counts=False)
+
+        def put(some: list[tuple], signs: np.ndarray):
+            """Adds up ``cluster, group, s, n``, the clusters being rows of ``signs``."""
+            begin = 0
+            for k in range(len(some) + 1):
+                if k == len(some) or sums.full(some[k][1]):
+                    if k > begin:
+                        low, high = some[begin][0], some[k - 1][0] + 1
+                        w = 1.0 - 2.0 * np.unpackbits(signs[low:high].view(np.uint8), axis=1, count=draws, bitorder="little")
+                        of, at, own, many = (np.array(x) for x in zip(*[(o - low, sums.held[key], s, n) for o, key, s, n in some[begin:k]], strict=True))
+                        sums.add(of, at, own.astype(np.float64), many, high - low, [(slice(None), w)])
+                    begin = k
+                    if k < len(some):
+                        yield from sums.told()
+                if k < len(some):
+                    sums.place(some[k][1])
+
+        # Of the last cluster: the number of its first row, its signs so far, and that row, until all signs are there.
+        last, signs, waiting = -1, np.zeros((1, n_blocks), "<u2"), []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            first, row, block = pdf["__first"].to_numpy(bool), pdf["__row"].to_numpy(), pdf["__block"].to_numpy()
+            begun = np.diff(row[first], prepend=last) != 0
+            of = np.zeros(len(pdf), np.int64)
+            of[np.flatnonzero(first)[begun]] = 1
+            of = np.cumsum(of)
+            signs = np.concatenate([signs[-1:], np.zeros((of[-1], n_blocks), "<u2")])
+            signs[of[first], block[first]] = pdf["__bits"].to_numpy()[first]
+            last = row[first][-1] if first.any() else last
+            head = block == 0
+            found = pdf[head]
+            ready = [*waiting, *zip(of[head].tolist(), zip(*[found[g].tolist() for g in group], strict=True), found["s"].tolist(), found["n"].tolist(), strict=True)]
+            # Other rows of a cluster come after all blocks of its first one.
+            waiting = [(0, *ready.pop()[1:])] if ready and ready[-1][0] == of[-1] and first[of == of[-1]].all() else []
+            yield from put(ready, signs)
+        yield from put(waiting, signs[-1:])
+        yield from sums.told()
+
+    return met.select(*group, "s", "n", "__first", "__row", "__block", bits.alias("__bits")).mapInPandas(added, kinds)
+
+
 def drawn(rows: DataFrame, group: list[str], cluster: str, value: str, weigh: Callable[[np.ndarray], np.ndarray], draws: int, seed: int, counts: bool) -> DataFrame:
     """``group, part, s, n, known``: sums of ``value`` and counts of rows under each draw, as parts to be added up.
 
     ``s`` and ``n`` hold ``draws + 1`` doubles, of which the first is the sum without a draw
     (``n`` holds only that one, unless ``counts``). ``weigh`` makes weights of the draws' numbers.
     """
-    sums = rows.groupBy(*group, cluster).agg(F.sum(value).cast("double").alias("s"), F.count(F.lit(1)).alias("n")).dropna(subset=group)
-    named = sums.select(*group, F.coalesce(F.concat(F.lit(":"), F.col(cluster).cast("string")), F.lit("")).alias("__tail"), "s", "n")
-    tasks = min(TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = importable(named).repartition(tasks, "__tail").sortWithinPartitions(F.length("__tail"), "__tail", *group)
+    dealt, kinds = _dealt(rows, group, cluster, value)
     heads = [f"{seed}:{k}".encode() for k in range(1, draws + 1)]
-    kinds = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in group)
 
     def added(batches):
-        import pandas as pd
-        from pyspark import TaskContext
+        sums = _Sums(group, draws, counts)
 
-        held: dict[tuple, int] = {}
-        s, n = np.zeros((HELD, draws + 1)), np.zeros((HELD, draws + 1 if counts else 1))
-        known = np.zeros(HELD, bool)
-        part = [TaskContext.get().partitionId() << 32]
-
-        def told():
-            for key, k in held.items():
-                yield pd.DataFrame([(*key, part[0], s[k].tobytes(), n[k].tobytes(), bool(known[k]))], columns=[*group, "part", "s", "n", "known"])
-            part[0] += 1
-            held.clear()
-            s[:], n[:], known[:] = 0, 0, False
-
-        def add(tails: list[bytes], of: np.ndarray, at: np.ndarray, own: np.ndarray, many: np.ndarray):
-            """Adds up rows: of the cluster ``of``, the group held at ``at``."""
-            used = len(held)
-            mine, number = np.zeros((used, len(tails))), np.zeros((used, len(tails)))
-            np.add.at(mine, (at, of), np.nan_to_num(own))
-            np.add.at(number, (at, of), many)
-            known[at[~np.isnan(own)]] = True
-            s[:used, 0] += mine.sum(axis=1)
-            n[:used, 0] += number.sum(axis=1)
-            for first, x in numbers(heads, tails):
-                w, here = weigh(x).astype(np.float64), slice(first, first + len(x))
-                s[:used, 1:] += mine[:, here] @ w
-                if counts:
-                    n[:used, 1:] += number[:, here] @ w
+        def add(tails: list[bytes], of: list[int], at: list[int], own: np.ndarray, many: np.ndarray):
+            weights = ((slice(first, first + len(x)), weigh(x).astype(np.float64)) for first, x in numbers(heads, tails))
+            sums.add(np.array(of), np.array(at), own, many, len(tails), weights)
 
         for pdf in batches:
             keys = list(zip(*[pdf[g].tolist() for g in group], strict=True))
             texts, own, many = [x.encode() for x in pdf["__tail"]], pdf["s"].to_numpy(np.float64), pdf["n"].to_numpy(np.float64)
             begin, tails, of, at = 0, [], [], []
             for k, (key, text) in enumerate(zip(keys, texts, strict=True)):
-                full = key not in held and len(held) == HELD
+                full = sums.full(key)
                 if tails and (full or (text != tails[-1] and (len(text) != len(tails[0]) or len(tails) == 1024))):
-                    add(tails, np.array(of), np.array(at), own[begin:k], many[begin:k])
+                    add(tails, of, at, own[begin:k], many[begin:k])
                     begin, tails, of, at = k, [], [], []
                 if full:
-                    yield from told()
+                    yield from sums.told()
                 if not tails or text != tails[-1]:
                     tails.append(text)
                 of.append(len(tails) - 1)
-                at.append(held.setdefault(key, len(held)))
+                at.append(sums.place(key))
             if tails:
-                add(tails, np.array(of), np.array(at), own[begin:], many[begin:])
-        yield from told()
+                add(tails, of, at, own[begin:], many[begin:])
+        yield from sums.told()
 
-    return dealt.mapInPandas(added, f"{kinds}, part bigint, s binary, n binary, known boolean")
+    return dealt.sortWithinPartitions(F.length("__tail"), "__tail", *group).mapInPandas(added, kinds)
 
 
 def summed(parts: DataFrame, group: list[str], made: Callable[[np.ndarray, np.ndarray], tuple], kinds: str) -> DataFrame:

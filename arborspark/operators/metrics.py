@@ -10,7 +10,7 @@ from numpy import quantile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborspark.operators.draws import drawn, summed
+from arborspark.operators.draws import drawn, signed, summed
 
 
 def paragraph_metrics(predicted: DataFrame, references: DataFrame, query: str, item: str, place: str, k: int = 5) -> DataFrame:
@@ -60,8 +60,7 @@ def sign_test(differences: DataFrame, pair: list[str], cluster: str, value: str,
     def made(s, n):
         return float(s[0]), float(n[0]), int((abs(s[1:]) >= abs(s[0]) - 1e-9).sum())
 
-    parts = drawn(differences, pair, cluster, value, lambda x: 1.0 - 2.0 * (x >> 31), draws, seed, counts=False)
-    rows = summed(parts, pair, made, "total double, n double, reached bigint")
+    rows = summed(signed(differences, pair, cluster, value, draws, seed), pair, made, "total double, n double, reached bigint")
     return rows.select(*pair, F.round(F.nanvl("total", F.lit(None).cast("double")) / F.col("n"), 6).alias("mean"), F.round((F.col("reached") + 1) / (draws + 1), 6).alias("p"))
 
 

@@ -74,3 +74,34 @@ def test_bootstrap_weights(rows):
 def test_holm_takes_the_summed_draws(spark):
     plan = evaluation.holm_10k(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" in plan, "a cluster is not copied for each draw"
+
+
+def test_signs_are_bits_of_the_compiled_digest(spark):
+    plan = evaluation.holm_10k(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2(" in plan and "__bits" in plan, "no digest is made in Python"
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_signs_in_blocks_over_batches(rows, spark, batch):
+    df, data = rows
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        parts = draws.signed(df, ["g"], "c", "v", draws=35, seed=7).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got, counted, want = defaultdict(lambda: np.zeros(36)), defaultdict(float), sums(data)
+    for r in parts:
+        got[r["g"]] += np.frombuffer(r["s"])
+        counted[r["g"]] += np.frombuffer(r["n"])[0]
+    assert got.keys() == want.keys() and len({(r["g"], r["part"]) for r in parts}) == len(parts)
+    for g, by in want.items():
+        assert counted[g] == sum(n for _, n in by.values())
+        moved = [sum(s * (1 if number(d, c) < 1 << 31 else -1) for c, (s, _) in by.items()) for d in range(1, 36)]
+        assert np.allclose(got[g], [sum(s for s, _ in by.values()), *moved], rtol=0, atol=1e-9)
+
+
+def test_a_cluster_of_more_groups_than_a_task_holds(spark):
+    df = spark.createDataFrame([(k, c, k + 0.5) for k in range(draws.HELD + 50) for c in ("a", "b")], "g int, c string, v double")
+    got = {r["g"]: (r["mean"], r["p"]) for r in metrics.sign_test(df, ["g"], "c", "v", draws=20).collect()}
+    same = sum((number(d, "a") < 1 << 31) == (number(d, "b") < 1 << 31) for d in range(1, 21))
+    assert got == {k: (k + 0.5, round((same + 1) / 21, 6)) for k in range(draws.HELD + 50)}
