@@ -71,7 +71,8 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = dealt(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     raw = docs.select("doc_id", F.split("text", "\n").alias("raw"), F.length("text").alias("size"))
     rows = raw.select("doc_id", "size", _bound(F.col("raw"), lambda x: F.zip_with(x, _fence_roles(x), lambda raw, role: F.struct(raw.alias("raw"), role.alias("role")))).alias("xs"))
-    rows = rows.select("doc_id", "size", F.posexplode("xs").alias("pos", "x")).select("doc_id", "size", F.col("pos").cast("bigint").alias("pos"), "x.raw", "x.role")
+    # A text has one line at least. Without "outer", Spark would fold every text once more to see that, before documents are dealt.
+    rows = rows.select("doc_id", "size", F.posexplode_outer("xs").alias("pos", "x")).select("doc_id", "size", F.col("pos").cast("bigint").alias("pos"), "x.raw", "x.role")
     by = Window.partitionBy("doc_id").orderBy("pos")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)).cast("bigint")

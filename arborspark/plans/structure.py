@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborspark.operators import markdown, segment
+from arborspark.operators import markdown, scopes, segment
 from arborspark.plans.corpus import BLANKS, jaccard_sql, posterior_sql, set_sql
 from arborspark.plans.registry import load, query
 from arborspark.sources.work import written
@@ -167,11 +167,8 @@ def guide_outline(spark, sf):
 SELECT n.doc_id, asked, count(*) AS n_nodes, max(n.node_id) AS last_node FROM asked JOIN tree_nodes n ON n.doc_id = asked.doc_id AND n.start >= a AND n."end" <= b GROUP BY ALL""")
 def guide_scopes(spark, sf):
     """What lies below each heading and below the heading that each entry of the contents leads to."""
-    found = _found(spark, sf)
-    nodes = _tree(spark, sf, found)
-    asked = nodes.where("kind in ('toc_entry', 'heading')").select("doc_id", F.col("node_id").alias("asked"))
-    inside = markdown.scope(nodes, _targets(found), asked)
-    return inside.groupBy("doc_id", "asked").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("node_id").alias("last_node"))
+    docs = _guides(spark, sf)
+    return scopes.scopes(docs, markdown.blocks(docs), scopes.TreeReader(0.95))
 
 
 #: Hints on the guides: the second line of a paragraph, a native heading's own title, and faulty ones.
