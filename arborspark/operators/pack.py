@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from arborspark.functions.arrays import scan
 
 
-def packed(items: DataFrame, query: str, item: str, order: str, cost: str, budget: int, most: int | None = None, text: str | None = None, header: int = 0, joint: int = 0) -> DataFrame:
+def packed(items: DataFrame, query: str, item: str, order: str, cost: str, budget: int, text: str | None = None, header: int = 0, joint: int = 0) -> DataFrame:
     """``query, item, order, taken, used``: what is taken in rank order, and the budget used up to then.
 
-    Repeated items count once. ``most`` ends the walk at so many items. With ``header`` and
+    Repeated items count once, and any number of them is taken that fits. With ``header`` and
     ``joint``, the cost is that of the rendered context: the header once and ``joint`` more
     for each further item.
     """
@@ -22,7 +22,7 @@ def packed(items: DataFrame, query: str, item: str, order: str, cost: str, budge
 
     def step(at, x):
         price = x["c"] + F.when(at["n"] > 0, F.lit(joint)).otherwise(F.lit(0))
-        fits = (at["used"] + price <= budget) & (F.lit(True) if most is None else at["n"] < most)
+        fits = at["used"] + price <= budget
         used = (at["used"] + F.when(fits, price).otherwise(F.lit(0))).cast("bigint")
         made = F.struct(x["o"].cast("bigint").alias("o"), x["i"].cast("string").alias("i"), fits.alias("taken"), used.alias("used"))
         return F.struct(used.alias("used"), (at["n"] + fits.cast("bigint")).alias("n")), made
